@@ -77,7 +77,7 @@ class Model:
         return 1 / (1 + math.exp(-min(max(total, -500), 500)))
 
 
-def fit_weights(rows: list[list[int]], swapped: list[list[int] | None], labels: np.ndarray, n: int, penalty: float = 1.0, ridge: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[list[int]], swapped: list[list[int] | None], labels: np.ndarray, n: int, penalty: float = 1.0, ridge: float = 1e-5, steps: int = 1000) -> tuple[np.ndarray, float]:
     """Logistic regression with a ridge and the mean squared logit change under swaps, by accelerated gradient."""
     if not len(labels) or labels.min() == labels.max():
         rate = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -92,7 +92,21 @@ def fit_weights(rows: list[list[int]], swapped: list[list[int] | None], labels:
     d_at, d_idx = flat([r + s for r, s in pairs])
     d_sign = np.concatenate([np.r_[np.ones(len(r)), -np.ones(len(s))] for r, s in pairs]) if pairs else np.zeros(0)
     m, w, b = len(labels), np.zeros(n), math.log(labels.mean() / (1 - labels.mean()))
-    vw, vb, step = w.copy(), b, 2.0 / max(1.0, np.sqrt(np.mean([len(r) for r in rows]) + 1))
+
+    def curvature(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        out = 0.25 * (np.bincount(at, w[idx], m) + b) / m
+        g = np.bincount(idx, out[at], n) + ridge * w
+        if pairs:
+            change = np.bincount(d_at, w[d_idx] * d_sign, len(pairs)) / len(pairs)
+            g += penalty * np.bincount(d_idx, change[d_at] * d_sign, n)
+        return g, out.sum()
+
+    pw, pb, bound = np.ones(n), 1.0, 1.0
+    for _ in range(30):  # the largest curvature, by power iteration
+        pw, pb = curvature(pw, pb)
+        bound = math.sqrt(float(pw @ pw) + pb * pb)
+        pw, pb = pw / bound, pb / bound
+    vw, vb, step = w.copy(), b, 0.9 / bound
     for k in range(steps):
         logits = np.bincount(at, vw[idx], m) + vb
         off = (1 / (1 + np.exp(-np.clip(logits, -500, 500))) - labels) / m
