@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from maskloom.llm import bytebpe, chat, line_dedup, near_dedup, packing, token_files, toxicity
+from maskloom.llm import ann, bytebpe, chat, embedding_dedup, line_dedup, near_dedup, packing, token_files, toxicity
 from maskloom.llm.common import crc_mod, fresh_path
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -22,6 +26,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bytebpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), bytebpe.digest_row, bytebpe.DIGESTS)
@@ -55,7 +63,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_chat": op3_chat,
+    "op4_ann": op4_ann,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_files": op7_token_files,
@@ -64,4 +74,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE, "op6_line_dedup": line_dedup.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.ORACLE, "op3_chat": chat.ORACLE, "op6_line_dedup": line_dedup.oracle()}
