@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from maskloom.llm import ann, bytebpe, chat, embedding_dedup, line_dedup, near_dedup, packing, token_files, toxicity
+from maskloom.llm import ann, bytebpe, chat, embedding_dedup, hmm, line_dedup, near_dedup, packing, token_files, toxicity
 from maskloom.llm.common import crc_mod, fresh_path
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hmm": op1_hmm,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_chat": op3_chat,
     "op4_ann": op4_ann,
