@@ -10,7 +10,8 @@ shingles plus about m log m points.
 Candidates: signatures are banded. In a bucket every text is verified against the one of
 smallest id (a star); where verified links leave a bucket in several classes, pairs across
 classes whose signatures agree well are verified as well, so that no link between different
-texts is lost to the star. Verification compares whole multisets. Copies share a digest of
+texts is lost to the star: in rounds, each text tries its best partners first, then more of them,
+and in the end all that are still in another class. Verification compares whole multisets. Copies share a digest of
 their multiset and enter once.
 
 Words are the lower-cased text split at white space; shingles have five words. Cases: a text of
@@ -181,10 +182,11 @@ def verify(docs: DataFrame, pairs: DataFrame, most: int = 256) -> DataFrame:
     return dealt.select("doc_id", "text", "a", "salt", "kind").mapInPandas(run, "a long, b long").distinct()
 
 
-def _residual(signed: DataFrame, buckets: DataFrame, classes: DataFrame, most: int = 2048) -> DataFrame:
+def _residual(signed: DataFrame, buckets: DataFrame, classes: DataFrame, tries: int | None, most: int = 2048) -> DataFrame:
     """Pairs of different classes that share a bucket and whose signatures agree in 46 of 80 values or more.
 
-    At the threshold 64 are expected with a deviation of 3.6. Buckets are dealt in blocks of about
+    At the threshold 64 are expected with a deviation of 3.6. With ``tries``, a text of a block offers
+    its best so many partners; ``cut`` marks that it had more. Buckets are dealt in blocks of about
     ``most`` texts, each pair of blocks on its own, so that no task holds a whole large bucket.
     """
     placed = buckets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -202,19 +204,24 @@ def _residual(signed: DataFrame, buckets: DataFrame, classes: DataFrame, most: i
             sketch = np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), SIZE)
             same_block = g["x"].iloc[0] == g["y"].iloc[0]
             block = g["block"].to_numpy()
-            for i in range(len(g) - 1):
-                js = np.arange(i + 1, len(g))
-                ok = (comp[js] != comp[i]) & (np.minimum(n[js], n[i]) >= SIMILAR * np.maximum(n[js], n[i]))
+            found = []
+            for i in range(len(g)):
+                ok = (comp != comp[i]) & (np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i]))
                 if not same_block:
-                    ok &= block[js] != block[i]
-                js = js[ok]
+                    ok &= block != block[i]
+                js = np.flatnonzero(ok)
+                agree = (sketch[js] == sketch[i]).sum(1)
+                js, agree = js[agree >= 46], agree[agree >= 46]
+                cut = tries is not None and len(js) > tries
+                if cut:
+                    js = js[np.lexsort((ids[js], -agree))[:tries]]
                 if len(js):
-                    js = js[(sketch[js] == sketch[i]).sum(1) >= 46]
-                    if len(js):
-                        yield pd.DataFrame({"a": np.minimum(ids[js], ids[i]), "b": np.maximum(ids[js], ids[i])})
+                    found.append(pd.DataFrame({"a": np.minimum(ids[js], ids[i]), "b": np.maximum(ids[js], ids[i]), "cut": cut}))
+            if found:
+                yield pd.concat(found)
 
     dealt = rows.repartition(partitions(signed.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "doc_id")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInPandas(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def _grouped(batches: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
@@ -247,14 +254,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stash(verify(docs, star), "links")
     classes = stash(components(links), "classes")
-    rest = _residual(texts, buckets.drop("hub"), classes).join(star, ["a", "b"], "left_anti")
-    more = stash(verify(docs, rest), "links")
+    tested = star
+    for tries in (3, 24, 192, None):
+        offered = stash(_residual(texts, buckets.drop("hub"), classes, tries), "offered")
+        more = stash(verify(docs, offered.join(tested, ["a", "b"], "left_anti")), "links")
+        if not more.isEmpty():
+            joined = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            classes = stash(components(joined), "classes")
+        if offered.filter("cut").isEmpty():
+            break
+        tested = tested.unionByName(offered.select("a", "b"))
+    text_class = classes
     copies = signed.select("digest", "doc_id").distinct().join(same, "digest").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    if more.isEmpty():
-        # classes of texts are final: a copy has its text's class
-        text_class = classes
-    else:
-        text_class = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     copied = copies.join(text_class.withColumnRenamed("node", "a"), "a", "left").select(F.col("b").alias("node"), F.coalesce("component", "a").alias("component"))
     found = text_class.unionByName(copied).groupBy("node").agg(F.min("component").alias("component"))
     out = docs.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
