@@ -10,8 +10,8 @@ shingles plus about m log m points.
 Candidates: signatures are banded. In a bucket every text is verified against the one of
 smallest id (a star); where verified links leave a bucket in several classes, pairs across
 classes whose signatures agree well are verified as well, so that no link between different
-texts is lost to the star: in rounds, each text tries its best partners first, then more of them,
-and in the end all that are still in another class. Verification compares whole multisets. Copies share a digest of
+texts is lost to the star: each text tries its best partners first; a text that had more of them
+then tries all that are still in another class and agree in a signature of WIDE values. Verification compares whole multisets. Copies share a digest of
 their multiset and enter once.
 
 Words are the lower-cased text split at white space; shingles have five words. Cases: a text of
@@ -36,6 +36,7 @@ from maskloom.llm.components import components
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
+WIDE = 1024
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,38 +74,38 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(both / (total - both)) if total else 0.0
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """BagMinHash values, float32, one row of SIZE per multiset; rows of empty multisets are infinite."""
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> np.ndarray:
+    """BagMinHash values, float32, one row of ``size`` per multiset; rows of empty multisets are infinite."""
     doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-    out = np.full(len(sets) * SIZE, np.inf)
+    out = np.full(len(sets) * size, np.inf)
     if not len(doc):
-        return out.reshape(len(sets), SIZE).astype(np.float32)
+        return out.reshape(len(sets), size).astype(np.float32)
     item = np.concatenate([s[0] for s in sets])
     count = np.concatenate([s[1] for s in sets])
     level, low, length = 0, 0, 1
     while len(doc):
-        _points(out, doc, mix(item + np.uint64((int(_STEP) * (level + 1)) % 2**64)), count, low, length)
+        _points(out, doc, mix(item + np.uint64((int(_STEP) * (level + 1)) % 2**64)), count, low, length, size)
         low, level = low + length, level + 1
         length = low  # (1,2], (2,4], (4,8], ...
         more = count > low
         doc, item, count = doc[more], item[more], count[more]
-    return out.reshape(len(sets), SIZE).astype(np.float32)
+    return out.reshape(len(sets), size).astype(np.float32)
 
 
-def _points(out: np.ndarray, doc: np.ndarray, state: np.ndarray, count: np.ndarray, low: int, length: int) -> None:
+def _points(out: np.ndarray, doc: np.ndarray, state: np.ndarray, count: np.ndarray, low: int, length: int, size: int) -> None:
     time = np.zeros(len(doc))
     while len(doc):
         state = mix(state + _STEP)
         time = time - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / length
         other = mix(state ^ _MIX2)
-        part = ((other & np.uint64(0xFFFFFFFF)) * np.uint64(SIZE) >> np.uint64(32)).astype(np.int64)
+        part = ((other & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
         if length > 1:
             cell = ((other >> np.uint64(32)) * np.uint64(length) >> np.uint64(32)).astype(np.int64)
             valid = low + cell < count
-            np.minimum.at(out, (doc * SIZE + part)[valid], time[valid])
+            np.minimum.at(out, (doc * size + part)[valid], time[valid])
         else:
-            np.minimum.at(out, doc * SIZE + part, time)
-        limit = out.reshape(-1, SIZE).max(axis=1)
+            np.minimum.at(out, doc * size + part, time)
+        limit = out.reshape(-1, size).max(axis=1)
         go = time < limit[doc]
         doc, state, time, count = doc[go], state[go], time[go], count[go]
 
@@ -182,46 +183,79 @@ def verify(docs: DataFrame, pairs: DataFrame, most: int = 256) -> DataFrame:
     return dealt.select("doc_id", "text", "a", "salt", "kind").mapInPandas(run, "a long, b long").distinct()
 
 
-def _residual(signed: DataFrame, buckets: DataFrame, classes: DataFrame, tries: int | None, most: int = 2048) -> DataFrame:
-    """Pairs of different classes that share a bucket and whose signatures agree in 46 of 80 values or more.
+def _open_buckets(buckets: DataFrame, classes: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """Rows (key, doc_id, component, source, size) of buckets that hold several classes and a source; all texts
+    are sources by default. A bucket of two has no pair besides the star's."""
+    placed = buckets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    if sources is None:
+        placed = placed.withColumn("source", F.lit(True))
+    else:
+        placed = placed.join(sources.withColumn("source", F.lit(True)), "doc_id", "left").withColumn("source", F.coalesce("source", F.lit(False)))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("source").alias("any"), F.count("*").alias("size"))
+    return placed.join(open_.filter("lo < hi AND any AND size > 2").select("key", "size"), "key")
+
+
+def _residual(rows: DataFrame, signed: DataFrame, tries: int | None, most: int = 2048) -> DataFrame:
+    """Pairs of different classes that share an open bucket and whose signatures agree in 46 of 80 values or more.
 
-    At the threshold 64 are expected with a deviation of 3.6. With ``tries``, a text of a block offers
-    its best so many partners; ``cut`` marks that it had more. Buckets are dealt in blocks of about
-    ``most`` texts, each pair of blocks on its own, so that no task holds a whole large bucket.
+    At the threshold 64 are expected with a deviation of 3.6; of WIDE values (``wide``, if ``signed`` has it)
+    the least is five deviations below, too. With ``tries``, a text of a block offers its best so many
+    partners, and a row (a, a) says that it had more. Buckets are dealt in blocks of about ``most`` texts,
+    each pair of blocks on its own, so that no task holds a whole large bucket.
     """
-    placed = buckets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
-    rows = placed.join(open_, "key").join(signed.select("doc_id", "n", "sketch"), "doc_id")
+    wide = "wide" in signed.columns
+    rows = rows.join(signed.select("doc_id", "n", "sketch", *["wide"] * wide), "doc_id")
     k = F.ceil(F.col("size") / most).cast("int")
     rows = rows.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    rows = rows.select("key", "doc_id", "component", "n", "sketch", "block", other)
-    rows = rows.select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k", "size")
+    rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    least_wide = int((SIMILAR - 5 * np.sqrt(SIMILAR * (1 - SIMILAR) / WIDE)) * WIDE)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, g in _grouped(batches, ["key", "x", "y"]):
-            ids, comp, n = (g[c].to_numpy() for c in ("doc_id", "component", "n"))
+            ids, comp, n, source, block = (g[c].to_numpy() for c in ("doc_id", "component", "n", "source", "block"))
             sketch = np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), SIZE)
-            same_block = g["x"].iloc[0] == g["y"].iloc[0]
-            block = g["block"].to_numpy()
-            found = []
-            for i in range(len(g)):
+            broad = np.frombuffer(b"".join(g["wide"]), np.uint8).reshape(len(g), WIDE) if wide else None
+            across = g["x"].iloc[0] != g["y"].iloc[0]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            more = []
+            for i in np.flatnonzero(source):
                 ok = (comp != comp[i]) & (np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i]))
-                if not same_block:
+                if across:
                     ok &= block != block[i]
                 js = np.flatnonzero(ok)
                 agree = (sketch[js] == sketch[i]).sum(1)
                 js, agree = js[agree >= 46], agree[agree >= 46]
-                cut = tries is not None and len(js) > tries
-                if cut:
+                if wide and len(js):
+                    js = js[(broad[js] == broad[i]).sum(1) >= least_wide]
+                if tries is not None and len(js) > tries:
                     js = js[np.lexsort((ids[js], -agree))[:tries]]
+                    more.append(ids[i])
                 if len(js):
-                    found.append(pd.DataFrame({"a": np.minimum(ids[js], ids[i]), "b": np.maximum(ids[js], ids[i]), "cut": cut}))
+                    found.append((np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])))
             if found:
-                yield pd.concat(found)
+                a = np.concatenate([f[0] for f in found] + [np.array(more, np.int64)])
+                b = np.concatenate([f[1] for f in found] + [np.array(more, np.int64)])
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     dealt = rows.repartition(partitions(signed.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "doc_id")
-    return dealt.mapInPandas(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def _widen(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``signed`` for ``nodes`` only, with WIDE more signature values of 8 bits from their texts."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                values = signatures([multiset(t) for t in part["text"]], WIDE).view(np.uint32).astype(np.uint64)
+                short = (mix(values) & np.uint64(0xFF)).astype(np.uint8)
+                yield part.drop(columns="text").assign(wide=[s.tobytes() for s in short])
+
+    wanted = stash(signed.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "sketch"), "wanted")
+    texts = _fetch(docs, wanted).select("doc_id", "n", "sketch", "text")
+    return texts.mapInPandas(run, "doc_id long, n long, sketch binary, wide binary").dropDuplicates(["doc_id"])
 
 
 def _grouped(batches: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
@@ -254,16 +288,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stash(verify(docs, star), "links")
     classes = stash(components(links), "classes")
-    tested = star
-    for tries in (3, 24, 192, None):
-        offered = stash(_residual(texts, buckets.drop("hub"), classes, tries), "offered")
+    buckets = buckets.drop("hub")
+
+    def settle(classes: DataFrame, offered: DataFrame, tested: DataFrame) -> DataFrame:
         more = stash(verify(docs, offered.join(tested, ["a", "b"], "left_anti")), "links")
-        if not more.isEmpty():
-            joined = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-            classes = stash(components(joined), "classes")
-        if offered.filter("cut").isEmpty():
-            break
-        tested = tested.unionByName(offered.select("a", "b"))
+        if more.isEmpty():
+            return classes
+        return stash(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "classes")
+
+    offered = stash(_residual(_open_buckets(buckets, classes, None), texts, 3), "offered")
+    tested = star.unionByName(offered.filter("a <> b"))
+    sources = stash(offered.filter("a = b").select(F.col("a").alias("doc_id")), "sources")
+    classes = settle(classes, offered.filter("a <> b"), star)
+    if not sources.isEmpty():
+        rows = stash(_open_buckets(buckets, classes, sources), "open")
+        broad = stash(_widen(docs, texts, rows.select("doc_id").distinct()), "wide")
+        classes = settle(classes, _residual(rows, broad, None), tested)
     text_class = classes
     copies = signed.select("digest", "doc_id").distinct().join(same, "digest").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     copied = copies.join(text_class.withColumnRenamed("node", "a"), "a", "left").select(F.col("b").alias("node"), F.coalesce("component", "a").alias("component"))
