@@ -101,7 +101,7 @@ def fit_weights(rows: list[list[int]], swapped: list[list[int] | None], labels:
             g += penalty * np.bincount(d_idx, change[d_at] * d_sign, n)
         return g, out.sum()
 
-    pw, pb, bound = np.ones(n), 1.0, 1.0
+    pw, pb, bound = np.random.default_rng(3).standard_normal(n), 1.0, 1.0
     for _ in range(30):  # the largest curvature, by power iteration
         pw, pb = curvature(pw, pb)
         bound = math.sqrt(float(pw @ pw) + pb * pb)
