@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.llm.common import stash
+
 _WORD = re.compile(r"[^\W_]+")
 PREFIXES = range(3, 8)
 
@@ -144,11 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 16_000, feature
         yield pd.DataFrame({"feature": names + [""], "toxic": [toxic[f] for f in names] + [docs_seen[0]], "docs": [all_of[f] for f in names] + [docs_seen[1]]})
 
     counted = rows.select("text", "toxic").mapInPandas(count, "feature string, toxic long, docs long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("docs").alias("n"))
-    totals = F.broadcast(counted.filter("feature = ''").select(F.col("t").alias("all_t"), F.col("n").alias("all_n")))
-    expected = F.col("all_t") * F.col("n") / F.col("all_n")
-    spread = expected * (1 - F.col("all_t") / F.col("all_n")) * (1 - F.col("n") / F.col("all_n"))
+    counted = stash(counted, "features")
+    totals = counted.filter("feature = ''").first()
+    all_t, all_n = (totals.t, totals.n) if totals and totals.n else (0, 1)
+    expected = F.col("n") * (all_t / all_n)
+    spread = expected * (1 - all_t / all_n) * (1 - F.col("n") / all_n)
     best = (
-        counted.filter((F.col("feature") != "") & (F.col("n") >= least_docs)).join(totals)  # one row
+        counted.filter((F.col("feature") != "") & (F.col("n") >= least_docs))
         .withColumn("chi2", F.when(spread > 0, (F.col("t") - expected) ** 2 / spread).otherwise(0.0))
         .filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "feature").limit(features).select("feature")
     )
