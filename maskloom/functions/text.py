@@ -83,10 +83,32 @@ def sentinel(kind: Column, value: Column, ipad: Column, opad: Column) -> Column:
     return F.concat(F.lit(OPEN), body, F.lit(MIDDLE), tag_of(kind), F.lit(CLOSE))
 
 
+# Made-up names for fakes.
+GIVEN = ["Awa", "Bineta", "Cheikh", "Demba", "Fatou", "Ibra", "Khady", "Lamine"]
+FAMILY = ["Ba", "Cisse", "Diallo", "Faye", "Gueye", "Ndiaye", "Sarr", "Sow"]
+
+
+def fake(kind: Column, value: Column, ipad: Column, opad: Column) -> Column:
+    """A realistic stand-in, the same for the same value under one key, with no way back; null for kinds that have none."""
+    h = hmac_hex(F.concat_ws("\x1f", F.lit("fake"), kind, value), ipad, opad)
+
+    def pick(names: list[str], at: int) -> Column:
+        return F.element_at(F.array(*[F.lit(n) for n in names]), ((F.instr(F.lit("0123456789abcdef"), F.substr(h, F.lit(at), F.lit(1))) - 1) % len(names) + 1).cast("int"))
+
+    digits = F.translate(F.substr(h, F.lit(1), F.lit(7)), "abcdef", "012345")
+    person = F.concat(pick(GIVEN, 1), F.lit(" "), pick(FAMILY, 2))
+    return (
+        F.when(kind == "Email", F.concat(F.lit("user."), F.substr(h, F.lit(1), F.lit(8)), F.lit("@example.org")))
+        .when(kind == "PhoneSn", F.concat(F.lit("+221 70"), digits))
+        .when(kind == "Person", person)
+        .when(kind == "nom_sn", pick(FAMILY, 2))
+    )
+
+
 def label(kind: Column) -> Column:
     return F.concat(F.lit("["), F.upper(kind), F.lit("]"))
 
 
 def base64url(text: Column) -> Column:
     """Without padding."""
-    return F.rtrim(F.lit("="), F.translate(F.base64(text.cast("binary")), "+/", "-_"))
+    return F.rtrim(F.translate(F.base64(text.cast("binary")), "+/", "-_"), F.lit("="))

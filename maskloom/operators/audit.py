@@ -62,3 +62,8 @@ def flushed_prefix(groups: DataFrame, partition: list[str]) -> DataFrame:
     """Groups (run, ok) before the first failure; they are what a flush may commit."""
     w = W.partitionBy(*partition).orderBy("run").rowsBetween(W.unboundedPreceding, W.currentRow)
     return groups.withColumn("sent", F.min(F.col("ok").cast("int")).over(w) == 1)
+
+
+def recovered_cursor(cursor: Column, length: Column) -> Column:
+    """A stored cursor read back: 0 if it is no number, at most the ledger's length."""
+    return F.least(F.greatest(F.coalesce(cursor.try_cast("long"), F.lit(0)), F.lit(0)), length)

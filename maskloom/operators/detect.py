@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.text import OPEN, QUASI, kind_of, label, pads, pattern, sentinel
+from maskloom.functions.text import OPEN, QUASI, fake, kind_of, label, pads, pattern, sentinel
 
 
 def matches(text: Column, disabled: list[str] | None = None) -> Column:
@@ -37,16 +37,19 @@ def detect(df: DataFrame, key: str, text: str = "text", disabled: list[str] | No
     )
 
 
-def mask(df: DataFrame, secret: bytes, text: str = "text", quasi: str = "label", disabled: list[str] | None = None) -> DataFrame:
+def mask(df: DataFrame, secret: bytes, text: str = "text", fakes: bool = False, disabled: list[str] | None = None) -> DataFrame:
     """``df`` with ``text`` masked in one pass: identifiers become sentinels, quasi-identifiers labels.
 
+    With ``fakes``, kinds that have a realistic stand-in get it, which can't be restored.
+
     Values that fail validation stay as they are; a null text stays null.
     """
     one = F.broadcast(pads(df.sparkSession, secret))  # one row
 
     def replacement(v: Column) -> Column:
-        kind = kind_of(v, disabled)
-        return F.when(kind.isNull(), v).when(kind.isin(*QUASI), label(kind)).otherwise(sentinel(kind, v, F.col("ipad"), F.col("opad")))
+        kind, key = kind_of(v, disabled), (F.col("ipad"), F.col("opad"))
+        token = F.coalesce(fake(kind, v, *key), sentinel(kind, v, *key)) if fakes else sentinel(kind, v, *key)
+        return F.when(kind.isNull(), v).when(kind.isin(*QUASI), label(kind)).otherwise(token)
 
     with_parts = df.crossJoin(one)
     put = F.transform(matches(F.col(text), disabled), replacement)

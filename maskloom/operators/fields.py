@@ -55,3 +55,19 @@ def response_fields(df: DataFrame, key: str, body: str = "body") -> DataFrame:
         F.struct(F.lit("legacy").alias("channel"), F.col("c.text").alias("text")),
     )
     return c.select(key, "choice", F.explode(F.filter(leaves, lambda x: x["text"].isNotNull())).alias("l")).select(key, "choice", "l.channel", "l.text")
+
+
+def json_strings(body: Column) -> Column:
+    """Every string value of a JSON text at any depth, in order, without object keys; none if it is no JSON."""
+    literal = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?+'
+    values = F.filter(F.regexp_extract_all(body, F.lit(literal), F.lit(0)), lambda x: ~x.endswith(":"))
+    decoded = F.transform(values, lambda x: F.try_variant_get(F.try_parse_json(x), "$", "string"))
+    return F.when(F.try_parse_json(body).isNotNull(), decoded).otherwise(F.array().cast("array<string>"))
+
+
+def with_texts(body: Column, request: Column, texts: Column) -> Column:
+    """The request as JSON with its messages' contents replaced in order; fields unknown to the schema are kept."""
+    parts = F.from_json(body, "map<string,variant>")
+    messages = F.transform(request["messages"], lambda m, i: m.withField("content", F.coalesce(F.get(texts, i), m["content"])))
+    now = F.map_from_arrays(F.array(F.lit("messages")), F.array(F.parse_json(F.to_json(messages))))
+    return F.to_json(F.map_concat(F.map_filter(parts, lambda k, _: k != "messages"), now))

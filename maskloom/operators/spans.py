@@ -43,3 +43,15 @@ def enclosing_wins(outer: DataFrame, inner: DataFrame, key: str) -> DataFrame:
     o = outer.select(F.col(key).alias("k"), F.col("start").alias("os"), F.col("end").alias("oe"))
     inside = (F.col(key) == F.col("k")) & (F.col("start") >= F.col("os")) & (F.col("end") <= F.col("oe"))
     return outer.unionByName(inner.join(o, inside, "left_anti"))
+
+
+def best_label(logits: Column) -> tuple[Column, Column]:
+    """(place of the largest logit from 0, its stable softmax probability); null for null or empty logits."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    return (F.array_position(logits, top) - 1).cast("int"), F.when(F.size(logits) > 0, 1 / total)
+
+
+def known_kinds(spans: DataFrame, text_length: str, kinds: tuple[str, ...] = ("PERSON", "LOC")) -> DataFrame:
+    """Spans of an outside producer that can be used: of ``kinds``, not empty, inside their text."""
+    return spans.filter(F.col("kind").isin(*kinds) & (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col(text_length)))

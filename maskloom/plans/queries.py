@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as T
-from maskloom.operators import audit, detect, fields, restore, session, spans, tenancy
+from maskloom.operators import audit, calls, detect, fields, restore, session, spans, tenancy, vault
+from maskloom.streaming import events as stream_events
 
 SECRET = b"demonstration key, not a secret"
 FORGED = T.OPEN + "a" * T.BODY + T.MIDDLE + "EM" + T.CLOSE
@@ -373,3 +374,115 @@ _STATUS = "CASE event_id % 4 WHEN 0 THEN 502 WHEN 1 THEN 200 WHEN 2 THEN 400 ELS
 def retry_classify(spark, sf):
     events = _events(spark, sf)
     return events.select("event_id", tenancy.retryable(F.expr(_STATUS), F.expr(_BODY)).alias("retry"))
+
+
+# --- fakes, vault, call outcomes, stream payloads --------------------------------------------------
+
+
+def _digit(at: int) -> str:
+    return f"(strpos('0123456789abcdef', f[{at}]) - 1)"
+
+
+@query(f"""WITH {_FOUND}, faked AS (SELECT *, {_hexed("'fake' || chr(31) || kind || chr(31) || value")} AS f FROM put)
+SELECT d.doc_id, coalesce(p.t, d.text) AS text FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(s[i] || CASE kind WHEN 'Email' THEN 'user.' || f[1:8] || '@example.org' WHEN 'PhoneSn' THEN '+221 70' || translate(f[1:7], 'abcdef', '012345') ELSE repl END, '' ORDER BY i) || any_value(s[len(s)]) AS t
+  FROM faked GROUP BY doc_id) p USING (doc_id)""")
+def realistic_fakes(spark, sf):
+    return detect.mask(_docs(spark, sf), SECRET, fakes=True).select("doc_id", "text")
+
+
+_STORED = f"{NOW} - (request_id % 14) * 86400"
+
+
+@query(f"""WITH {_FOUND}, r AS (SELECT DISTINCT doc_id AS request_id, repl AS token, kind, value FROM put WHERE kind IN ('Email', 'PhoneSn', 'CniSn')),
+v AS (SELECT token, max({_STORED}) + 604800 AS expires_at FROM r GROUP BY token)
+SELECT request_id, token, kind, CASE WHEN expires_at > {NOW} OR kind = 'PhoneSn' THEN value END AS value FROM r JOIN v USING (token)""")
+def vault_fallback(spark, sf):
+    """Values of all but phones are asked of the vault, in which some have expired."""
+    key = vault.vault_key(SECRET, b"salt")
+    book = detect.registry(_docs(spark, sf), SECRET, "doc_id").withColumn("at", F.expr(_STORED))
+    asked = book.select("request_id", "token", "kind", F.when(F.col("kind") == "PhoneSn", F.col("value")).alias("value"))
+    return vault.fill(asked, vault.put(book, key, "at"), key, NOW)
+
+
+_KINDS = [e[0] for e in calls.ERRORS]
+
+
+@query("SELECT event_id, CASE event_id % 9 " + " ".join(f"WHEN {i} THEN {s}" for i, (_, s, _, _) in enumerate(calls.ERRORS)) + """ END AS status,
+'{"error":{"message":"' || event_type || '","type":"' || CASE event_id % 9 """ + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, _, t, _) in enumerate(calls.ERRORS))
+       + """ END || '","code":"' || CASE event_id % 9 """ + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, _, _, c) in enumerate(calls.ERRORS)) + """ END || '"}}' AS body FROM events""")
+def error_mapping(spark, sf):
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("event_id") % 9 + 1).cast("int"))
+    return _events(spark, sf).select("event_id", calls.error_fields(kind)[0].alias("status"), calls.error_body(kind, F.col("event_type")).alias("body"))
+
+
+@query(f"""SELECT event_id, CASE WHEN {_STATUS} BETWEEN 200 AND 299 AND coalesce(json_valid({_BODY}), false) THEN {_BODY} END AS body,
+CASE WHEN {_STATUS} NOT BETWEEN 200 AND 299 THEN '{calls.BAD_STATUS}' WHEN NOT coalesce(json_valid({_BODY}), false) THEN '{calls.BAD_JSON}' END AS error FROM events""")
+def upstream_results(spark, sf):
+    body, error = calls.result(F.expr(_STATUS), F.expr(_BODY))
+    return _events(spark, sf).select("event_id", body.alias("body"), error.alias("error"))
+
+
+@query("""SELECT event_id, event_id % 2 = 0 AND event_id % 3 <> 0 AND event_id % 5 <> 0 AS retry,
+'{' || CASE WHEN NOT retry AND event_id % 3 <> 0 THEN '"response_format":{"type":"json"},' ELSE '' END || '"user":' || user_id || '}' AS request FROM events""")
+def response_format_degrade(spark, sf):
+    """Calls that failed with 400 are sent again without the field, if it was there and was named."""
+    sent = F.concat(F.lit("{"), F.when(F.col("event_id") % 3 != 0, '"response_format":{"type":"json"},').otherwise(""), F.lit('"user":'), F.col("user_id").cast("string"), F.lit("}"))
+    status = F.when(F.col("event_id") % 2 == 0, 400).otherwise(500)
+    answer = F.when(F.col("event_id") % 5 != 0, f"This {calls.NO_RESPONSE_FORMAT} now").otherwise("bad")
+    rows = _events(spark, sf).select("event_id", sent.alias("sent"), status.alias("status"), answer.alias("answer"))
+    retry = calls.degradable(F.col("status"), F.col("sent"), F.col("answer"))
+    return rows.select("event_id", retry.alias("retry"), F.when(retry, calls.without_field(F.col("sent"))).otherwise(F.col("sent")).alias("request"))
+
+
+@query("""SELECT event_type, count(*) AS requests, count(*) FILTER (WHERE user_id % 10 = 0) AS auth_failures, count(*) FILTER (WHERE event_id % 4 IN (0, 2)) AS upstream_errors,
+CAST(sum(event_id % 3) AS BIGINT) AS unresolved, count(*) FILTER (WHERE value > 150) AS quasi_flags FROM events GROUP BY event_type""")
+def service_metrics(spark, sf):
+    return calls.metrics(_events(spark, sf), F.col("user_id") % 10 == 0, F.expr(f"{_STATUS} NOT BETWEEN 200 AND 299"), F.expr("event_id % 3"), F.col("value") > 150, "event_type")
+
+
+@query("SELECT c_custkey, c_nationkey % 2 = 0 AND c_nationkey % 3 <> 0 AS by_verifier, c_name = 'Customer#000000007' AS by_token, true AS open FROM customer")
+def access_decision(spark, sf):
+    told = F.expr("CASE WHEN c_nationkey % 3 <> 0 THEN c_nationkey % 2 = 0 END")
+    token = F.col("c_name")
+    return _t(spark, sf, "customer").select("c_custkey", calls.access(token, told).alias("by_verifier"), calls.access(token, expected="Customer#000000007").alias("by_token"), calls.access(token).alias("open"))
+
+
+@query("""SELECT event_id, replace(replace(rtrim(to_base64(encode('{"tenant_id":"' || event_type || '","ts_unix":' || floor(epoch(ts))::BIGINT || '}')), '='), '+', '-'), '/', '_') AS header FROM events""")
+def receipt_headers(spark, sf):
+    receipt = F.to_json(F.struct(F.col("event_type").alias("tenant_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_unix")))
+    return _events(spark, sf).select("event_id", T.base64url(receipt).alias("header"))
+
+
+@query("""SELECT event_id, t AS "text" FROM (SELECT event_id, unnest([event_type, 'q"' || user_id, event_type || ':']) AS t FROM events)""")
+def json_string_leaves(spark, sf):
+    body = F.to_json(F.struct(F.col("event_type").alias("a"), F.struct(F.array(F.concat(F.lit('q"'), F.col("user_id").cast("string"))).alias("c"), F.lit(1).alias("n")).alias("b"), F.concat("event_type", F.lit(":")).alias("d")))
+    return _events(spark, sf).select("event_id", F.explode(fields.json_strings(body)).alias("text"))
+
+
+@query("""SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS best,
+round(1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))), 9) AS prob FROM embeddings""")
+def argmax_softmax(spark, sf):
+    best, prob = spans.best_label(F.col("embedding").cast("array<double>"))
+    return _t(spark, sf, "embeddings").select("vec_id", best.alias("best"), F.round(prob, 9).alias("prob"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'content' WHEN role = 'user' THEN 'tool' ELSE 'reasoning' END AS channel,
+CAST(CASE WHEN role = 'user' THEN turn % 3 ELSE 0 END AS INT) AS idx, text AS delta, 'c' || conv_id AS id FROM conversations WHERE text <> ''""")
+def stream_route(spark, sf):
+    """Turns as stream payloads, the id in the first of a conversation only; routed, rebuilt and routed again."""
+    turns = _t(spark, sf, "conversations")
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
+    call = F.struct((F.col("turn") % 3).cast("int").alias("index"), F.struct(F.col("text").alias("arguments")).alias("function"))
+    is_, text = F.col("role"), F.col("text")
+    delta = F.struct(F.when(is_ == "assistant", text).alias("content"), F.when(~is_.isin("assistant", "user"), text).alias("reasoning_content"), F.when(is_ == "user", F.array(call)).alias("tool_calls"))
+    body = F.struct(F.when(first, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("id"), F.array(F.struct(delta.alias("delta"))).alias("choices"))
+    routed = stream_events.route(turns.filter("text <> ''").select("conv_id", "turn", F.to_json(body).alias("payload")), "conv_id", "turn")
+    again = routed.select("conv_id", "turn", stream_events.rebuild(F.col("channel"), F.col("idx"), F.col("delta")).alias("payload"))
+    return stream_events.route(again, "conv_id", "turn").select("conv_id", "turn", "channel", "idx", "delta", "id")
+
+
+@query("SELECT event_id, least(greatest(coalesce(TRY_CAST(CASE event_id % 3 WHEN 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS BIGINT), 0), 0), 5000) AS cursor FROM events")
+def cursor_recovery(spark, sf):
+    stored = F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("event_id").cast("string"))
+    return _events(spark, sf).select("event_id", audit.recovered_cursor(stored, F.lit(5000).cast("long")).alias("cursor"))
