@@ -6,6 +6,7 @@ ids are those of its pieces, one after another; pieces repeat, whole texts do no
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import re
@@ -76,6 +77,7 @@ class CachedTokenizer:
             known = self.known
             out[at] = b"".join([known[p] if p in known else self._learn(p) for p in self.find(texts[at].as_py())])
         self._turn()
+        _give_back()
         return out
 
     def _turn(self) -> None:
@@ -146,6 +148,14 @@ class CachedTokenizer:
         return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(piece)]
 
 
+def _give_back() -> None:
+    """Return freed pages to the system; a worker otherwise keeps those of its largest batch."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
 _loaded: dict[bytes, CachedTokenizer] = {}
 
 
