@@ -6,9 +6,11 @@ aggregation. An estimate clear of the threshold decides; lines near it get an ex
 distinct sites. A spread line is removed from every document but that of the smallest doc_id.
 
 Cases: null text stays null, empty text stays empty; null sites count as no site; lines of fewer
-than ``min_words`` words are never removed; repeated rows of the first document all keep the line
-(a null doc_id comes after all others); a document whose every line goes keeps its row with empty
-text. Other columns of ``docs``, whatever their names, pass through.
+than ``min_words`` words (parted by spaces) are never removed, and with ``min_words`` 0 every line
+that isn't blank can be, in any script: the pipeline does that, the query keeps the 5 words of its
+SQL; repeated rows of the first document all keep the line (a null doc_id comes after all others);
+a document whose every line goes keeps its row with empty text. Other columns of ``docs``, whatever
+their names, pass through.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ def _key(line: Column) -> list[Column]:
 
 
 def _long_enough(line: Column, min_words: int) -> Column:
+    if not min_words:
+        return line.rlike(r"(?U)\S")
     return line.rlike("^ *[^ ]+( +[^ ]+){%d}" % (min_words - 1))
 
 

@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that spread over sites; n_chars, if there, follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """All documents, without the lines of any length that spread over sites; n_chars, if there, follows the text."""
+    out = line_dedup.dedup_lines(docs, min_words=0)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from maskloom.llm import ann, bytebpe, chat, embedding_dedup, hmm, line_dedup, packing, token_files, toxicity
+from maskloom.llm import ann, bytebpe, chat, embedding_dedup, hmm, line_dedup, packing, stages, token_files, toxicity
 from maskloom.llm.wordcache import CachedTokenizer
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -142,6 +142,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs, min_sites=9).filter(F.contains("text", F.lit(line))).count() == 14
 
 
+def test_pipeline_cuts_spread_lines_of_any_length(spark):
+    short = ["Les.", "漢字だけの長い行です", "a\tb", "two\u00a0words"]
+    rows = [(d, "\n".join([f"own {d}", "", " ", "\u00a0\t", *short, "few" if d < 4 else "none"]), f"s{d}", 0) for d in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in stages.cut_spread_lines(spark, docs, "").collect()}
+    assert got[0].text == rows[0][1] and got[3].text == "own 3\n\n \n\u00a0\t\nfew" and got[3].n_chars == len(got[3].text)
+    assert got[4].text == "own 4\n\n \n\u00a0\t\nnone"
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
