@@ -1,11 +1,10 @@
 """Chat formatting by incremental black-box rendering.
 
 A template is any function from turns to text. Successive prefixes of a conversation are
-rendered; where an output begins with the one before it, the rest is the new turn's span, and
-where it does not, the template rewrites history. So that long conversations cost a constant
-per turn, prefixes restart every ``block`` turns from the turn before; the span of that turn,
-rendered from both beginnings, must agree, else the template looks further back and the
-conversation's prefixes are rendered whole.
+rendered whole; where an output begins with the one before it, the rest is the new turn's span, and
+where it does not, the template rewrites history. No check of single turns can show that a black
+box doesn't look further back, so only the shipped template, known to render each turn by itself,
+costs a constant per turn: its prefixes restart every ``block`` turns from the turn before.
 
 The shipped template marks turns by control strings and puts a backslash before each of them,
 and before backslashes, inside texts, so that texts can be read back exactly.
@@ -58,7 +57,8 @@ def read_turn(span: str) -> tuple[str, str, int, int]:
 def spans(turns: Iterable[Turn], render: Callable[[list[Turn]], str], block: int = 32) -> Iterator[tuple[str, bool]]:
     """(span, whether the new prefix rewrote the one before) of each turn; holds ``block`` turns.
 
-    Raises ``LooksBack`` if a restart from the turn before doesn't agree with the longer prefix.
+    Only for templates known to look at no turn but the one before. Raises ``LooksBack`` if a restart
+    doesn't agree with the longer prefix, which doesn't find every template that looks further back.
     """
     window: list[Turn] = []
     shown, last = render([]), None
@@ -150,7 +150,7 @@ def conversations(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None,
 
 
 def _robust(turns: Iterator[Turn], template) -> Iterator[tuple[str, tuple[str, bool]]]:
-    if template is turn_template:  # known to look at no other turn: nothing to fall back to
+    if template is turn_template:  # known to look at no other turn
         seen: list[str] = []
 
         def noted():
@@ -162,11 +162,7 @@ def _robust(turns: Iterator[Turn], template) -> Iterator[tuple[str, tuple[str, b
             yield seen.pop(), part
         return
     kept = list(turns)
-    try:
-        parts = list(spans(kept, template))
-    except LooksBack:
-        parts = list(whole_spans(kept, template))
-    yield from zip([r for r, _ in kept], parts)
+    yield from zip([r for r, _ in kept], whole_spans(kept, template))
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

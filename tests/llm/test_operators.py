@@ -131,6 +131,28 @@ def test_black_box_templates():
     assert "".join(s for s, _ in chat.whole_spans(turns, counts)) == counts(turns)
 
 
+def test_templates_that_look_far_back(spark):
+    shown = lambda ts: "".join(f"[{r}:{t}]" for r, t in ts)
+
+    def recent(ts):
+        return shown(ts[-40:])
+
+    def system_last(ts):
+        system = "".join(t for r, t in ts if r == "system")
+        users = [k for k, (r, _) in enumerate(ts) if r == "user"]
+        return shown([(r, system + t if k == users[-1] else t) if users else (r, t) for k, (r, t) in enumerate(ts) if r != "system"])
+
+    turns = [("system", "S")] + [(("user", "assistant")[k % 2], str(k)) for k in range(99)]
+    table = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for template in (recent, system_last):
+        got = [(r.span, r.rewrites) for r in chat.format_conversations(table, template).orderBy("turn_no").collect()]
+        for k, (span, rewrites) in enumerate(got):
+            before, now = template(turns[:k]), template(turns[: k + 1])
+            assert now.endswith(span) and rewrites == (not now.startswith(before))
+            assert rewrites or before + span == now
+        assert any(rewrites for _, rewrites in got[41:])
+
+
 def test_line_dedup(spark):
     line = "this very line is on sites"
     rows = [(d, f"own words of document {d}\n{line}\nshort", f"s{d % 6}", d) for d in range(12)]
