@@ -46,8 +46,6 @@ def usable(column: str):
 
 def _replicate(rows: DataFrame, bound: float) -> DataFrame:
     """Each vector at its cells: block number, cell, and whether it is at home there."""
-    radius = float(np.sqrt(bound / BLOCKS)) * (1 + 1e-9) + 1e-12
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
@@ -55,9 +53,9 @@ def _replicate(rows: DataFrame, bound: float) -> DataFrame:
             for _, part in batch.groupby(batch["embedding"].map(len)):
                 x = np.stack(part["embedding"].to_list()).astype(np.float64)
                 y = (x / np.linalg.norm(x, axis=1)[:, None]) @ rotation(x.shape[1])
-                for block, columns in enumerate(np.array_split(np.arange(x.shape[1]), BLOCKS)):
-                    if not len(columns):
-                        continue
+                blocks = min(BLOCKS, x.shape[1])
+                radius = float(np.sqrt(bound / blocks)) * (1 + 1e-9) + 1e-12
+                for block, columns in enumerate(np.array_split(np.arange(x.shape[1]), blocks)):
                     first = y[:, columns[0]]
                     cell = np.floor(first / (2 * radius)).astype(np.int32)
                     spill = (cell + 1) * (2 * radius) - first <= radius
@@ -89,8 +87,9 @@ class Forest:
 
 def pairs_in(y: np.ndarray, x: np.ndarray, block: int, bound: float, cosine: float, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (of ``rows`` x ``columns``) that ``block`` is the first to admit and whose cosine reaches ``cosine``."""
-    parts = np.array_split(np.arange(y.shape[1]), BLOCKS)
-    share = bound / BLOCKS * (1 + 1e-9) + 1e-12
+    blocks = min(BLOCKS, y.shape[1])
+    parts = np.array_split(np.arange(y.shape[1]), blocks)
+    share = bound / blocks * (1 + 1e-9) + 1e-12
 
     def apart(i, j, k):
         return ((y[i][:, parts[k]] - y[j][:, parts[k]]) ** 2).sum(1)

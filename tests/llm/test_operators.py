@@ -200,6 +200,14 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(vectors(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_embedding_dedup_of_few_components(spark, size):
+    x = np.random.default_rng(5).standard_normal((60, size)).astype("f4")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(vectors(spark, [(i, x[i].tolist(), 0) for i in range(60)])).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert [got[i] for i in range(60)] == ((y @ y.T >= 0.93).sum(1) - 1).tolist()
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16)).astype("f4")
