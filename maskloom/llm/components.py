@@ -42,3 +42,24 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     moved = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
+class Forest:
+    """Union and find over numbers that join towards the smallest."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether ``a`` and ``b`` were apart; they aren't any more."""
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b

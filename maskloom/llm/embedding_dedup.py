@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm.common import partitions, stash
-from maskloom.llm.components import components
+from maskloom.llm.components import Forest, components
 from maskloom.llm.near_dedup import _grouped
 
 BLOCKS = 4
@@ -67,24 +67,6 @@ def _replicate(rows: DataFrame, bound: float) -> DataFrame:
     return rows.mapInPandas(run, "node long, label long, n long, embedding array<float>, block int, cell int, home boolean")
 
 
-class Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def pairs_in(y: np.ndarray, x: np.ndarray, block: int, bound: float, cosine: float, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (of ``rows`` x ``columns``) that ``block`` is the first to admit and whose cosine reaches ``cosine``."""
     blocks = min(BLOCKS, y.shape[1])

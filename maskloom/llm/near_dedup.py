@@ -8,16 +8,17 @@ rising order; a process ends once it passes the largest component, so a document
 shingles plus about m log m points.
 
 Candidates: signatures are banded. In a bucket every text is verified against the one of
-smallest id (a star); where verified links leave a bucket in several classes, pairs across
-classes whose signatures agree well are verified as well, so that no link between different
-texts is lost to the star: each text tries its best partners first; a text that had more of them
-then tries all that are still in another class and agree in a signature of WIDE values. Verification compares whole multisets. Copies share a digest of
-their multiset and enter once.
+smallest id (a star). Buckets whose texts are still in several classes are dealt in blocks, by
+texts and by words; each pair of blocks meets in one task with the texts, where every two texts of
+different classes are compared over their whole multisets, unless links found there have joined
+them already. A task returns a spanning forest, fewer links than it holds texts, never its pairs.
+Copies share a digest of their multiset and enter once.
 
 Words are the lower-cased text split at white space; shingles have five words. Cases: a text of
 one to four words has one shingle of all its words; null and empty texts and those without words
 link with nothing; rows of one doc_id are one document; rows with null doc_id take no part and
-come back with a null class; an empty table gives no rows.
+come back with a null class (``keep_one`` gives them keys of their own); an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from maskloom.llm.common import partitions, stash
-from maskloom.llm.components import components
+from maskloom.llm.common import broadcast_if_small, partitions, stash
+from maskloom.llm.components import Forest, components
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
-WIDE = 1024
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,12 +67,39 @@ def multiset(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(text), return_counts=True)
 
 
+def shared(of: np.ndarray, n: np.ndarray, a: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard similarities from shared weights ``of`` and total weights ``n``, against the multiset ``a``."""
+    return of / np.maximum(n + a[1].sum() - of, 1)
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets; of two empty ones 0."""
-    total = a[1].sum() + b[1].sum()
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return float(both / (total - both)) if total else 0.0
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum()
+    return float(both / (a[1].sum() + b[1].sum() - both))
+
+
+class Postings:
+    """Multisets of a block of texts, by shingle: the similarities of one text with all of them at once."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = np.array([s[1].sum() for s in sets], np.int64)
+        item = np.concatenate([s[0] for s in sets])
+        order = np.argsort(item, kind="stable")
+        self.item = item[order]
+        self.text = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])[order]
+        self.count = np.concatenate([s[1] for s in sets])[order]
+
+    def similarities(self, one: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        low = np.searchsorted(self.item, one[0], "left")
+        met = np.searchsorted(self.item, one[0], "right") - low
+        at = np.repeat(low - (np.cumsum(met) - met), met) + np.arange(met.sum())
+        both = np.bincount(self.text[at], np.minimum(self.count[at], np.repeat(one[1], met)), len(self.n))
+        return shared(both, self.n, one)
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> np.ndarray:
@@ -110,11 +138,11 @@ def _points(out: np.ndarray, doc: np.ndarray, state: np.ndarray, count: np.ndarr
         doc, state, time, count = doc[go], state[go], time[go], count[go]
 
 
-SIGNED = "doc_id long, digest binary, n long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, digest binary, n long, bands array<long>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Per document with words: digest of its multiset, its size, band keys, and 16-bit signature values."""
+    """Per document with words: digest of its multiset, its size, and band keys."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,22 +165,19 @@ def sign(docs: DataFrame) -> DataFrame:
         band = np.zeros((len(sets), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
             band = mix(band * _STEP + values[:, r::ROWS] + np.uint64(1))
-        short = (mix(values) & np.uint64(0xFFFF)).astype(np.uint16)
         return pd.DataFrame({
             "doc_id": keys,
             "digest": [xxhash.xxh3_128_digest(s[0].tobytes() + s[1].tobytes()) for s in sets],
             "n": [int(s[1].sum()) for s in sets],
             "bands": list(band.view(np.int64)),
-            "sketch": [s.tobytes() for s in short],
         })
 
     return docs.filter("doc_id IS NOT NULL").mapInPandas(run, SIGNED)
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, few: int = 1_000_000) -> DataFrame:
-    """``wanted`` (doc_id, ...) with texts; broadcast only while it has at most ``few`` rows, else shuffled."""
-    wanted = F.broadcast(wanted) if wanted.count() <= few else wanted
-    return docs.join(wanted, "doc_id")
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id and other numbers) with texts; broadcast only while it is small, else shuffled."""
+    return docs.join(broadcast_if_small(wanted, 16 * len(wanted.columns)), "doc_id")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, most: int = 256) -> DataFrame:
@@ -183,79 +208,62 @@ def verify(docs: DataFrame, pairs: DataFrame, most: int = 256) -> DataFrame:
     return dealt.select("doc_id", "text", "a", "salt", "kind").mapInPandas(run, "a long, b long").distinct()
 
 
-def _open_buckets(buckets: DataFrame, classes: DataFrame, sources: DataFrame | None) -> DataFrame:
-    """Rows (key, doc_id, component, source, size) of buckets that hold several classes and a source; all texts
-    are sources by default. A bucket of two has no pair besides the star's."""
-    placed = buckets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    if sources is None:
-        placed = placed.withColumn("source", F.lit(True))
-    else:
-        placed = placed.join(sources.withColumn("source", F.lit(True)), "doc_id", "left").withColumn("source", F.coalesce("source", F.lit(False)))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("source").alias("any"), F.count("*").alias("size"))
-    return placed.join(open_.filter("lo < hi AND any AND size > 2").select("key", "size"), "key")
+def _open_buckets(buckets: DataFrame, classes: DataFrame, most: int, words: int) -> DataFrame:
+    """Rows (key, doc_id, component, block, x, y) of buckets that still hold several classes, dealt in pairs of blocks.
 
+    A block has about ``most`` texts of together about ``words`` words at most, so no task holds a whole
+    large bucket. A bucket of two has no pair besides the star's.
+    """
+    placed = buckets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("words"))
+    k = F.greatest(F.ceil(F.col("size") / most), F.ceil(F.col("words") / words)).cast("int")
+    rows = placed.join(open_.filter("lo < hi AND size > 2").select("key", k.alias("k")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.select("key", "doc_id", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
-def _residual(rows: DataFrame, signed: DataFrame, tries: int | None, most: int = 2048) -> DataFrame:
-    """Pairs of different classes that share an open bucket and whose signatures agree in 46 of 80 values or more.
 
-    At the threshold 64 are expected with a deviation of 3.6; of WIDE values (``wide``, if ``signed`` has it)
-    the least is five deviations below, too. With ``tries``, a text of a block offers its best so many
-    partners, and a row (a, a) says that it had more. Buckets are dealt in blocks of about ``most`` texts,
-    each pair of blocks on its own, so that no task holds a whole large bucket.
-    """
-    wide = "wide" in signed.columns
-    rows = rows.join(signed.select("doc_id", "n", "sketch", *["wide"] * wide), "doc_id")
-    k = F.ceil(F.col("size") / most).cast("int")
-    rows = rows.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k", "size")
-    rows = rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    least_wide = int((SIMILAR - 5 * np.sqrt(SIMILAR * (1 - SIMILAR) / WIDE)) * WIDE)
+def _across(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """A spanning forest (a, b) of the links between classes, for each pair of blocks of ``rows``."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, g in _grouped(batches, ["key", "x", "y"]):
-            ids, comp, n, source, block = (g[c].to_numpy() for c in ("doc_id", "component", "n", "source", "block"))
-            sketch = np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), SIZE)
-            broad = np.frombuffer(b"".join(g["wide"]), np.uint8).reshape(len(g), WIDE) if wide else None
-            across = g["x"].iloc[0] != g["y"].iloc[0]
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            more = []
-            for i in np.flatnonzero(source):
-                ok = (comp != comp[i]) & (np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i]))
-                if across:
-                    ok &= block != block[i]
-                js = np.flatnonzero(ok)
-                agree = (sketch[js] == sketch[i]).sum(1)
-                js, agree = js[agree >= 46], agree[agree >= 46]
-                if wide and len(js):
-                    js = js[(broad[js] == broad[i]).sum(1) >= least_wide]
-                if tries is not None and len(js) > tries:
-                    js = js[np.lexsort((ids[js], -agree))[:tries]]
-                    more.append(ids[i])
-                if len(js):
-                    found.append((np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])))
+            g = g.drop_duplicates("doc_id")  # a repeated row of one document is read once
+            sets = [multiset(t) for t in g["text"]]
+            found = forest_of(g["doc_id"].to_numpy(), g["component"].to_numpy(), g["block"].to_numpy(), sets)
             if found:
-                a = np.concatenate([f[0] for f in found] + [np.array(more, np.int64)])
-                b = np.concatenate([f[1] for f in found] + [np.array(more, np.int64)])
-                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                yield pd.DataFrame(found, columns=["a", "b"])
 
-    dealt = rows.repartition(partitions(signed.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "doc_id")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    order = ["key", "x", "y"]
+    dealt = _fetch(docs, rows).repartition(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "doc_id")
+    return dealt.select(*order, "doc_id", "component", "block", "text").mapInPandas(run, "a long, b long").distinct()
 
 
-def _widen(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``signed`` for ``nodes`` only, with WIDE more signature values of 8 bits from their texts."""
+def forest_of(ids: np.ndarray, classes: np.ndarray, block: np.ndarray, sets: list) -> list[tuple[int, int]]:
+    """Links that join different classes of one block, or of two blocks with one another.
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                values = signatures([multiset(t) for t in part["text"]], WIDE).view(np.uint32).astype(np.uint64)
-                short = (mix(values) & np.uint64(0xFF)).astype(np.uint8)
-                yield part.drop(columns="text").assign(wide=[s.tobytes() for s in short])
-
-    wanted = stash(signed.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "sketch"), "wanted")
-    texts = _fetch(docs, wanted).select("doc_id", "n", "sketch", "text")
-    return texts.mapInPandas(run, "doc_id long, n long, sketch binary, wide binary").dropDuplicates(["doc_id"])
+    Every two texts that end in different classes have been compared: of such a pair at least one isn't
+    in the class that was the largest, and each such text is compared with all of the other block.
+    """
+    forest, found = Forest(), []
+    names, sizes = np.unique(classes, return_counts=True)
+    if len(names) < 2:
+        return found
+    largest = int(names[sizes.argmax()])
+    low = block == block.min()
+    sides = [(np.flatnonzero(low), np.flatnonzero(~low)), (np.flatnonzero(~low), np.flatnonzero(low))] if not low.all() else [(np.arange(len(ids)),) * 2]
+    for mine, others in sides:
+        loose = [i for i in mine.tolist() if forest.find(int(classes[i])) != forest.find(largest)]
+        if not loose:
+            continue
+        index = Postings([sets[j] for j in others])
+        for i in loose:
+            if forest.find(int(classes[i])) == forest.find(largest):
+                continue
+            for j in others[index.similarities(sets[i]) >= SIMILAR].tolist():
+                if forest.join(int(classes[i]), int(classes[j])):
+                    found.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return found
 
 
 def _grouped(batches: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
@@ -274,46 +282,49 @@ def _grouped(batches: Iterable[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
         yield tuple(rest[by].iloc[0]), rest
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = 2048, words: int = 1_000_000) -> DataFrame:
     """(doc_id, class_id, kept) of every document of ``docs`` (doc_id, text): class_id is the smallest doc_id
-    reachable by links of similarity SIMILAR or more, kept says whether the document is that one."""
+    reachable by links of similarity SIMILAR or more, kept says whether the document is that one.
+
+    ``most`` and ``words`` bound what a task of the bucket join holds of one block; they change no result.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stash(sign(docs), "signed")
     same = signed.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    texts = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("first")).select("first.*")
-    texts = stash(texts, "texts")
-    keys = texts.select("doc_id", F.explode("bands").alias("key"))
+    texts = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("first")).select("first.*")
+    keys = texts.select("doc_id", "n", F.explode("bands").alias("key"))
+    keys = stash(keys, "keys")
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     buckets = stash(keys.join(hubs.select("key", "hub"), "key"), "buckets")
     star = buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stash(verify(docs, star), "links")
     classes = stash(components(links), "classes")
-    buckets = buckets.drop("hub")
-
-    def settle(classes: DataFrame, offered: DataFrame, tested: DataFrame) -> DataFrame:
-        more = stash(verify(docs, offered.join(tested, ["a", "b"], "left_anti")), "links")
-        if more.isEmpty():
-            return classes
-        return stash(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "classes")
-
-    offered = stash(_residual(_open_buckets(buckets, classes, None), texts, 3), "offered")
-    tested = star.unionByName(offered.filter("a <> b"))
-    sources = stash(offered.filter("a = b").select(F.col("a").alias("doc_id")), "sources")
-    classes = settle(classes, offered.filter("a <> b"), star)
-    if not sources.isEmpty():
-        rows = stash(_open_buckets(buckets, classes, sources), "open")
-        broad = stash(_widen(docs, texts, rows.select("doc_id").distinct()), "wide")
-        classes = settle(classes, _residual(rows, broad, None), tested)
-    text_class = classes
+    rows = stash(_open_buckets(buckets.drop("hub"), classes, most, words), "open")
+    more = stash(_across(docs, rows), "links")
+    if not more.isEmpty():
+        classes = stash(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "classes")
     copies = signed.select("digest", "doc_id").distinct().join(same, "digest").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    copied = copies.join(text_class.withColumnRenamed("node", "a"), "a", "left").select(F.col("b").alias("node"), F.coalesce("component", "a").alias("component"))
-    found = text_class.unionByName(copied).groupBy("node").agg(F.min("component").alias("component"))
+    copied = copies.join(classes.withColumnRenamed("node", "a"), "a", "left").select(F.col("b").alias("node"), F.coalesce("component", "a").alias("component"))
+    found = classes.unionByName(copied).groupBy("node").agg(F.min("component").alias("component"))
     out = docs.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the smallest doc_id; other columns pass through."""
-    found = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    """``docs`` with one row of each class: that of smallest doc_id; other columns pass through.
+
+    Rows with null doc_id take part under keys made from their texts, above all ids, so such a row stays
+    only if its class has no other; of rows that repeat a doc_id, or a text without one, the first
+    by the text's hash stays.
+    """
+    made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), "text")
+    gone = near_duplicates(keyed.select("doc_id", "text")).filter("NOT kept").select("doc_id").distinct()
+    left = keyed.join(gone, "doc_id", "left_anti")
+    again = stash(keyed.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not again.isEmpty():
+        first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        once = left.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+        left = left.join(again, "doc_id", "left_anti").unionByName(once)
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from maskloom.llm import near_dedup
-from maskloom.llm.components import components
+from maskloom.llm.components import Forest, components
 
 
 def brute(texts):
@@ -47,9 +47,28 @@ def test_large_group_of_near_copies_and_odd_rows(spark):
     want = brute(texts)
     assert {d: c for d, (c, _) in got.items()} == want
     assert all(kept == (want[d] == d) for d, (_, kept) in got.items())
+    few = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, most=40, words=9_000).collect() if r.doc_id is not None}
+    assert few == want  # blocks of other sizes find the same classes
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {d for d in texts if want[d] == d} | {None}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d in texts if want[d] == d)
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, "a b c", "x"), (None, "a b c", "x"), (None, "a b c", "x"), (None, "other", "x"), (None, "other", "x"), (None, None, "x"), (None, None, "x"), (7, "", "x")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, class_id string")).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, ""), (-1, "other"), (1, "a b c"), (7, "")]
+
+
+def test_forest_joins_as_all_pairs_do():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab") if rng.random() < 0.9 else "c" for _ in range(rng.randrange(9, 14))) for _ in range(120)]
+    sets = [near_dedup.multiset(t) for t in texts]
+    want = brute(dict(enumerate(texts)))
+    for blocks in (np.zeros(120, int), np.arange(120) % 2):
+        forest = Forest()
+        edges = near_dedup.forest_of(np.arange(120), np.arange(120), blocks, sets)
+        assert len(edges) < 120 and all(near_dedup.overlap(sets[a], sets[b]) >= 0.8 for a, b in edges)
+        for a, b in edges if not blocks.any() else edges + near_dedup.forest_of(np.arange(0, 120, 2), np.arange(0, 120, 2), np.zeros(60, int), sets[::2]) + near_dedup.forest_of(np.arange(1, 120, 2), np.arange(1, 120, 2), np.zeros(60, int), sets[1::2]):
+            forest.join(a, b)
+        assert {d: forest.find(d) for d in range(120)} == want
 
 
 def test_empty_table(spark):
