@@ -268,6 +268,33 @@ def test_hmm_scores(spark):
     assert hmm.score(spark.createDataFrame([], DOCS), F.lit(True)).collect() == []
 
 
+def test_hmm_learns_from_long_documents_and_counts_repeated_rows(spark):
+    rng = random.Random(4)
+    long = [" ".join(rng.choices("a b c d".split() if d % 2 else "v w x y".split(), k=3000)) for d in range(8)]
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(long)] + [(0, long[0])] * 2 + [(90, "a b c d a b"), (91, "v w x y v w"), (92, " \t\x0b ")], DOCS)
+    got = hmm.score(docs, F.col("doc_id") < 50, states=2).collect()
+    assert {r.train_tokens for r in got} == {10 * 3001} and len({r.score for r in got if r.doc_id == 0}) == 1 and len(got) == 13
+    one = {r.doc_id: r for r in got}
+    assert one[92].n_tokens == 1 and one[90].n_known == 7
+    assert one[90].score > one[90].base_score + 1 and one[91].score > one[91].base_score + 1  # each topic has its state
+
+
+def test_words_are_parted_as_bytes_are():
+    texts = ["", None, " a  b\x0bc\x1fd\u00a0e\u3000 ", "ÉA\r\n", "\t"]
+    flat, n = hmm.split(hmm.pa.array(texts))
+    want = [hmm.tokens_of(t)[:-1] for t in texts]
+    assert [w.encode() for w in flat.to_pylist()] == [w for t in want for w in t] and n.tolist() == [len(t) for t in want]
+
+
+def test_frequent_tokens_by_histogram(spark):
+    rows = [(f"t{k}".encode(), max(1, 400 // (k + 1))) for k in range(400)]
+    counts = spark.createDataFrame(rows, "token binary, c long")
+    for most in (1, 3, 50, 150, 400):
+        got = hmm.frequent(counts, most)
+        assert len(got) <= most and [r.c for r in got] == sorted((c for _, c in rows if c >= (got[-1].c if got else 1e9)), reverse=True)
+        assert len(got) == 400 if most == 400 else sum(c >= max(x for _, x in rows if x < got[-1].c) for _, c in rows) > most
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(200)]
