@@ -13,7 +13,10 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; labels are learnt as in the toxicity query."""
+    """Documents whose toxicity score is below TOXIC; labels are learnt as in the toxicity query.
+
+    Null and empty texts have the score of no evidence, so they stay; repeated rows stay or go alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
     scored = toxicity.score(docs.select(F.struct("*").alias("row"), "text"), model, ["row"], "score")
@@ -21,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of any length that spread over sites; n_chars, if there, follows the text."""
-    out = line_dedup.dedup_lines(docs, min_words=0)
+    """All documents, without the lines of any length that spread over sites; n_chars, if there, follows the text (null: null)."""
+    out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))
@@ -30,12 +33,15 @@ def cut_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest doc_id, of each class of near copies."""
+    """One row, that of smallest doc_id, of each class of near copies; repeated rows of one doc_id are such copies.
+
+    Rows without words link with nothing, so they stay; a null doc_id comes after all others.
+    """
     return near_dedup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
+    """The packed pieces of all rows; null and empty texts are one end id, repeated rows are packed each."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

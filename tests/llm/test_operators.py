@@ -159,9 +159,15 @@ def test_line_dedup(spark):
     rows += [(50, line, "s9", 1), (51, None, "s9", 1), (52, "", None, 1), (None, line, "s1", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, h1 int")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, removed_col="gone").collect()}
-    assert line in got[0].text and got[0].gone == 0 and got[3].text == "own words of document 3\nshort" and got[3].h1 == 3
+    assert line in got[0].text and got[0].gone == 0 and got[3].text == "own words of document 3" and got[3].h1 == 3
     assert got[50].text == "" and got[51].text is None and got[52].text == "" and got[None].text == ""
     assert line_dedup.dedup_lines(docs, min_sites=9).filter(F.contains("text", F.lit(line))).count() == 14
+    assert {r.text for r in line_dedup.dedup_lines(docs, min_words=3).filter("doc_id = 3").collect()} == {"own words of document 3\nshort"}
+    assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
+    long = "y" * 3_000_000  # one very long line on five sites, in rows of one id, of no id, and repeated
+    rows = [(1, long, "a", 0), (1, long, "b", 0), (2, "x\n" + long, "c", 0), (None, long, "d", 0), (None, "z\n" + long, "e", 0), (2, "x\n" + long, "c", 0)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, h1 int")).collect()
+    assert sorted((r.doc_id or 9, r.text[:9], len(r.text)) for r in got) == [(1, "y" * 9, 3_000_000)] * 2 + [(2, "x", 1)] * 2 + [(9, "", 0), (9, "z", 1)]
 
 
 def test_pipeline_cuts_spread_lines_of_any_length(spark):
