@@ -47,7 +47,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write_token_files(docs, fresh_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
-    return token_files.read_token_files(spark, manifest).drop("ids")
+    return token_files.read_token_files(spark, manifest, with_ids=False)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

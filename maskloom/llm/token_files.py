@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -123,9 +124,11 @@ class TokenFileReader:
             yield doc, start, data[4 * start - self.raw_at[i] : 4 * end - self.raw_at[i]]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, frame_bytes: int = 1 << 18) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, frame_bytes: int = 1 << 18, file_bytes: tuple[int, int] = (4 << 20, 256 << 20)) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write one file per range of doc_id under ``path``, in ascending order.
 
+    There are as many files as shuffle partitions, but more or fewer where a file would stand for texts
+    of less or more than ``file_bytes`` on average.
     Returns the manifest, one row per file. Rows with one doc_id are ordered by a hash of the text,
     which also splits a very frequent doc_id. A task that runs again replaces its file by an equal one.
     """
@@ -133,13 +136,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     with open(tokenizer, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
 
-    def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        batches = (b for b in batches if len(b))
+        batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
         if first is None:
             return
+        lead, key = first["doc_id"][0].as_py(), first["key"][0].as_py()
         encoder = cached_tokenizer(definition.value, spaces=True)
         tail = np.array([end_id], "<u4").tobytes()
         name = f"{path}/tokens-{TaskContext.get().partitionId():06d}.zst"
@@ -147,31 +151,34 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             writer = TokenFileWriter(out, frame_bytes)
             batch = first
             while batch is not None:
-                for doc, payload in zip(batch["doc_id"], encoder.encode(batch["text"])):
-                    writer.add(None if pd.isna(doc) else int(doc), payload + tail)
+                for doc, payload in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"])):
+                    writer.add(doc, payload + tail)
                 batch = next(batches, None)
             writer.close()
-        lead = None if pd.isna(first["doc_id"].iloc[0]) else int(first["doc_id"].iloc[0])
-        row = [name, lead, int(first["key"].iloc[0]), len(writer.ids), writer.tokens, writer.written]
-        yield pd.DataFrame([row], columns=["path", "first_id", "first_key", "docs", "tokens", "bytes"]).astype({"first_id": "Int64"})
+        row = [name, lead, key, len(writer.ids), writer.tokens, writer.written]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string()] + [pa.int64()] * 5)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    done = dealt.mapInPandas(write, MANIFEST).collect()  # a row per file
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = min(max(partitions(spark), -(-size // file_bytes[1])), size // file_bytes[0] + 1)
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    done = dealt.mapInArrow(write, MANIFEST).collect()  # a row per file
     done.sort(key=lambda r: (r.first_id is not None, r.first_id or 0, r.first_key))
     return spark.createDataFrame(done, MANIFEST)
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame, wanted: Iterable[int] | None = None) -> DataFrame:
-    """Documents of the files: doc_id, start (ids before it over all files), n_tokens, ids_crc32, ids (binary)."""
+def read_token_files(spark: SparkSession, manifest: DataFrame, wanted: Iterable[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """Documents of the files: doc_id, start (ids before it over all files), n_tokens, ids_crc32, and ids (binary) if asked for."""
     files = manifest.collect()
     base, jobs = 0, []
     for f in files:
         jobs.append((f.path, base))
         base += f.tokens
     wanted = None if wanted is None else set(wanted)
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,7 +186,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, wanted: Iterable[
                 with open_input(path) as f:
                     rows, held = [], 0
                     for doc, start, ids in TokenFileReader(f).documents(wanted):
-                        rows.append((doc, before + start, len(ids) // 4, zlib.crc32(ids), ids))
+                        rows.append((doc, before + start, len(ids) // 4, zlib.crc32(ids), *[ids] * with_ids))
                         held += len(ids)
                         if held > 1 << 23:
                             yield frame(rows)
@@ -188,9 +195,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, wanted: Iterable[
                         yield frame(rows)
 
     def frame(rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     jobs_df = spark.createDataFrame(jobs, "path string, before long")
     if jobs:
         jobs_df = jobs_df.repartitionByRange(len(jobs), "before")
-    return jobs_df.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return jobs_df.mapInPandas(read, schema)

@@ -40,17 +40,22 @@ class CachedTokenizer:
     A new piece goes through the library's normalizer, pre-tokenizer and model; a plain word skips
     the first two, which would leave it whole. Known pieces live in two generations, so that
     frequent ones outlast a full cache.
+
+    ``added``: the strings of added tokens in a text get those tokens' ids, as the library does unless
+    its ``encode_special_tokens`` is set; texts that could hold one are given to it whole.
     """
 
     ENTRIES = 350_000
     LONGEST = 200
 
-    def __init__(self, definition: str, spaces: bool):
+    def __init__(self, definition: str, spaces: bool, added: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(definition)
-        self.spaces = spaces
+        self.spaces, self.library = spaces, library
+        starts = {re.escape(t.content.lower()[:2]) for t in library.get_added_tokens_decoder().values()} if added else set()
+        self.marks = "(?i)" + "|".join(sorted(starts)) if starts else None
         self.model, self.normalizer, self.pre_tokenizer = library.model, library.normalizer, library.pre_tokenizer
         self.find = (_SPACED if spaces else _WORDS).findall
         self.known: dict[str, bytes] = {}
@@ -63,9 +68,10 @@ class CachedTokenizer:
         Texts with regular white space are split and their words numbered by Arrow kernels, so
         that Python looks at each distinct word of a group once; others go piece by piece.
         """
-        texts = pa.array(texts, pa.large_string()).fill_null("")
+        texts = (texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).fill_null("")
         out: list[bytes] = [b""] * len(texts)
-        plain = pc.invert(pc.match_substring_regex(texts, _IRREGULAR)).to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(texts, self.marks).to_numpy(zero_copy_only=False) if self.marks else np.zeros(len(texts), bool)
+        plain = ~marked & pc.invert(pc.match_substring_regex(texts, _IRREGULAR)).to_numpy(zero_copy_only=False)
         sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1])
         regular = np.flatnonzero(plain & (sizes > 0))
         group = np.cumsum(sizes[regular]) >> 22
@@ -73,7 +79,9 @@ class CachedTokenizer:
             mine = regular[group == g]
             for at, ids in zip(mine.tolist(), self._encode_regular(texts.take(pa.array(mine)))):
                 out[at] = ids
-        for at in np.flatnonzero(~plain).tolist():
+        for at in np.flatnonzero(marked).tolist():
+            out[at] = array("I", self.library.encode(texts[at].as_py(), add_special_tokens=False).ids).tobytes()
+        for at in np.flatnonzero(~plain & ~marked).tolist():
             known = self.known
             out[at] = b"".join([known[p] if p in known else self._learn(p) for p in self.find(texts[at].as_py())])
         self._turn()
