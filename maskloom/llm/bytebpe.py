@@ -164,7 +164,10 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {i: b for b, i in ranks.items()}
+        names = {i: b for b, i in ranks.items()}
+        self.length = np.array([len(names.get(i, b"")) for i in range(max(names, default=-1) + 1)], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join([names[i] for i in sorted(names)]), np.uint8)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
@@ -244,15 +247,23 @@ class ByteBpe:
             self.known[piece] = ids
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
-
     def offsets(self, ids: list[int]) -> np.ndarray:
-        """Byte offset at which each id begins in the decoded text."""
-        of = self.bytes_of
-        ends = np.cumsum([len(of[i]) for i in ids], dtype=np.int64)
-        return ends - np.array([len(of[i]) for i in ids], np.int64)
+        """Byte offset at which each id begins in the decoded text, and where the last one ends."""
+        out = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.length[np.array(ids, np.int64)], out=out[1:])
+        return out
+
+    def decode(self, ids: list[int], offsets: np.ndarray | None = None, start: int = 0, stop: int | None = None) -> bytes:
+        """Bytes of the text from ``start`` to ``stop``: only the ids there are looked at, each put at its offset."""
+        at = self.offsets(ids) if offsets is None else offsets
+        stop = int(at[-1]) if stop is None else min(stop, int(at[-1]))
+        if start >= stop:
+            return b""
+        a, b = int(np.searchsorted(at, start, "right")) - 1, int(np.searchsorted(at, stop, "left"))
+        some = np.array(ids[a:b], np.int64)
+        n = self.length[some]
+        place = np.repeat(self.first[some] - at[a:b], n) + np.arange(at[a], at[b])
+        return self.flat[place].tobytes()[start - int(at[a]) : stop - int(at[a])]
 
 
 def _groups(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -293,7 +304,7 @@ def encode(docs: DataFrame, ranks: str, summarise=None, schema: str = "doc_id lo
     with open(ranks, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
     names = [c.split()[0] for c in schema.split(", ")]
-    row = summarise or (lambda coder, doc, text, ids: (doc, ids, coder.offsets(ids).tolist()))
+    row = summarise or (lambda coder, doc, text, ids: (doc, ids, coder.offsets(ids)[:-1].tolist()))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = byte_bpe(data.value)
@@ -324,9 +335,9 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
 
 def digest_row(coder: ByteBpe, doc, text: str, ids: list[int]) -> tuple:
-    """Count of ids, their digest, and the digest of what they decode to."""
+    """Count of ids, their digest, and the digest of what they decode to by their offsets."""
     written = " ".join(map(str, ids)).encode()
-    return doc, len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+    return doc, len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(coder.decode(ids, coder.offsets(ids))).hexdigest()
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
