@@ -1,10 +1,11 @@
 """Toxicity: a counterfactual-regularised logistic classifier on words and word beginnings.
 
-Fitting uses at most ``sample`` labelled rows, those of smallest key hash (a documented bound);
+Fitting uses about ``sample`` labelled rows at most, those of smallest key hash (a documented bound);
 features are counted over these rows on the executors, the weights are fitted on the driver on
 sparse rows of at most ``features`` numbers each. For every labelled text that names a group,
-each identity term is swapped for another of its list and the squared change of the logit is
-penalised, so that naming a group alone doesn't move the score.
+each identity term is swapped for another of its list; a text that names none makes its pair by
+taking in one term of a list, or another. The squared change of the logit between the two of a pair is
+penalised, so that which group is named doesn't move the score.
 
 Cases: null and empty texts get the score of no evidence; labels that are null or without a
 document are ignored, of repeated labels the largest counts; without any labels of both
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -46,6 +48,17 @@ IDENTITY_TERMS = [
 SWAP = {term: group[(k + 1) % len(group)] for group in IDENTITY_TERMS for k, term in enumerate(group)}
 
 
+def counterfactual(words: set[str]) -> tuple[set[str], set[str]]:
+    """What two wordings that differ in the groups they name add to the other words of a text."""
+    named = {w for w in words if w in SWAP}
+    if named:
+        return named, {SWAP[w] for w in named}
+    drawn = zlib.crc32(" ".join(sorted(words)).encode("utf-8", "replace"))
+    group = IDENTITY_TERMS[drawn % len(IDENTITY_TERMS)]
+    one = group[drawn // 64 % len(group)]
+    return {one}, {SWAP[one]}
+
+
 def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
@@ -79,8 +92,11 @@ class Model:
         return 1 / (1 + math.exp(-min(max(total, -500), 500)))
 
 
-def fit_weights(rows: list[list[int]], swapped: list[list[int] | None], labels: np.ndarray, n: int, penalty: float = 1.0, ridge: float = 1e-5, steps: int = 1000) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge and the mean squared logit change under swaps, by accelerated gradient."""
+def fit_weights(rows: list[list[int]], swapped: list, labels: np.ndarray, n: int, penalty: float = 1.0, ridge: float = 1e-5, steps: int = 1000) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge and the mean squared logit change of pairs, by accelerated gradient.
+
+    ``swapped`` has for each row its counterpart, or a pair of rows of which neither need be it, or None.
+    """
     if not len(labels) or labels.min() == labels.max():
         rate = (labels.sum() + 0.5) / (len(labels) + 1)
         return np.zeros(n), math.log(rate / (1 - rate))
@@ -90,7 +106,7 @@ def fit_weights(rows: list[list[int]], swapped: list[list[int] | None], labels:
         return np.repeat(np.arange(len(some)), lengths), np.array([i for r in some for i in r], np.int64)
 
     at, idx = flat(rows)
-    pairs = [(r, s) for r, s in zip(rows, swapped) if s is not None]
+    pairs = [(r, s) if isinstance(s, list) else s for r, s in zip(rows, swapped) if s is not None] if penalty else []
     d_at, d_idx = flat([r + s for r, s in pairs])
     d_sign = np.concatenate([np.r_[np.ones(len(r)), -np.ones(len(s))] for r, s in pairs]) if pairs else np.zeros(0)
     m, w, b = len(labels), np.zeros(n), math.log(labels.mean() / (1 - labels.mean()))
@@ -122,15 +138,14 @@ def fit_weights(rows: list[list[int]], swapped: list[list[int] | None], labels:
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 16_000, features: int = 4096, least_docs: int = 5, least_chi2: float = 25.0) -> Model:
-    """Fit on the rows of ``labels`` (doc_id, toxic) for which the column ``train`` of doc_id holds."""
+def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 16_000, features: int = 4096, least_docs: int = 5, least_chi2: float = 25.0, penalty: float = 1.0) -> Model:
+    """Fit on about ``sample`` at most of the rows of ``labels`` (doc_id, toxic) for which the column ``train`` of doc_id holds."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.filter(train).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = known.filter(train)
+    if (found := chosen.count()) > sample:  # by a threshold of a hash, so no task sends rows that aren't chosen
+        chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * sample / found))
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-
-    def swapped_words(words: set[str]) -> set[str] | None:
-        return {SWAP.get(w, w) for w in words} if any(w in SWAP for w in words) else None
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # about ``sample`` rows at most
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, all_of = Counter(), Counter()
@@ -162,18 +177,24 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 16_000, feature
 
     def number(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = sent.value.index.get
+
+        def numbers(words: set[str]) -> list[int]:
+            return sorted({i for f in features_of(words) if (i := get(f)) is not None})
+
         for batch in batches:
             out = []
             for text in batch["text"]:
                 words = words_of(text)
-                other = swapped_words(words)
-                out.append([None if w is None else sorted({i for f in features_of(w) if (i := get(f)) is not None}) for w in (words, other)])
-            yield pd.DataFrame({"toxic": batch["toxic"], "own": [o[0] for o in out], "swapped": [o[1] for o in out]})
+                one, other = counterfactual(words)
+                rest = words - one
+                out.append([numbers(words), numbers(rest | one), numbers(rest | other)])
+            yield pd.DataFrame({"toxic": batch["toxic"], "own": [o[0] for o in out], "left": [o[1] for o in out], "right": [o[2] for o in out]})
 
-    train_rows = rows.select("text", "toxic").mapInPandas(number, "toxic int, own array<int>, swapped array<int>").collect()  # at most ``sample``
-    train_rows.sort(key=lambda r: (r.toxic, r.own, r.swapped or []))
+    train_rows = rows.select("text", "toxic").mapInPandas(number, "toxic int, own array<int>, left array<int>, right array<int>").collect()  # about ``sample``
+    train_rows.sort(key=lambda r: (r.toxic, r.own, r.left, r.right))
     y = np.array([r.toxic for r in train_rows], float)
-    model.weights, model.bias = fit_weights([r.own for r in train_rows], [r.swapped for r in train_rows], y, len(index))
+    pairs = [None if r.left == r.right else (r.left, r.right) for r in train_rows]  # equal ones penalise nothing
+    model.weights, model.bias = fit_weights([r.own for r in train_rows], pairs, y, len(index), penalty)
     return model
 
 

@@ -22,6 +22,14 @@ ODD = [(1, "a  b\n\n'tis don't\t é½ 漢字!!"), (2, ""), (3, None), (3, "x"),
 DOCS = "doc_id long, text string"
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), max_size=4))
+def test_bpe_as_the_library_on_any_unicode(texts):
+    got = list(CODER.encode(texts))
+    assert got == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert [CODER.decode(i) for i in got] == [t.encode() for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("  \n\t'srtemdvlLé9½漢!?-\x85\x1c　😀")), max_size=5))
 def test_bpe_as_the_library(texts):
@@ -39,18 +47,23 @@ def test_long_merges():
 def test_cached_tokenizer_as_the_library(name, spaces):
     with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
         definition = f.read()
-    library = Tokenizer.from_str(definition)
-    library.encode_special_tokens = True
     rng = random.Random(1)
     texts = ["".join(rng.choice("  \n\t'srteL é9½漢!?-\x85ΣßİI<|>́") for _ in range(rng.randrange(40))) for _ in range(3000)]
-    got = CachedTokenizer(definition, spaces).encode(texts)
-    assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", " <|ENDofText|> x", "<|startoftext|>\n<|endoftext|> <|end", "plain | < words"]
+    for added in (True, False):
+        library = Tokenizer.from_str(definition)
+        library.encode_special_tokens = not added
+        got = CachedTokenizer(definition, spaces, added).encode(texts)
+        assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_bpe_rows(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     got = bytebpe.encode(docs, RANKS).collect()
     assert sorted((r.doc_id or 0, r.ids) for r in got) == sorted((d or 0, LIBRARY.encode_ordinary(t or "")) for d, t in ODD)
+    ids = CODER.encode(["é漢 and more 😀"]).__next__()
+    raw, at = "é漢 and more 😀".encode(), CODER.offsets(ids)
+    assert all(CODER.decode(ids, at, a, b) == raw[a:b] for a in range(len(raw) + 1) for b in range(len(raw) + 2))
     back = bytebpe.decode(bytebpe.encode(docs, RANKS), RANKS).collect()
     assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in back) == sorted((d or 0, (t or "").encode()) for d, t in ODD)
     assert bytebpe.encode(spark.createDataFrame([], DOCS), RANKS).collect() == []
@@ -88,7 +101,14 @@ def test_reader_opens_only_what_it_needs_and_sees_damage():
 def test_packing(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame(ODD + [(100 + d, "word " * rng.randrange(1, 90)) for d in range(300)], DOCS)
-    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 64).toPandas()
+    tok = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack_documents(docs, tok, 64).toPandas()
+    library, want = Tokenizer.from_file(tok), []
+    for d, t in ODD + [(100 + d, None) for d in range(0)]:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        want += [(-1 if d is None else d, k, at, len(ids[at : at + 64]), zlib.crc32(np.array(ids[at : at + 64], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 64))]
+    odd = rows[rows["doc_id"].isna() | (rows["doc_id"] < 100)].fillna({"doc_id": -1})
+    assert sorted(odd[["doc_id", "piece", "start", "length", "ids_crc32"]].astype(int).itertuples(index=False, name=None)) == sorted(want)
     total = rows["length"].sum()
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == np.cumsum([0] + g["length"].tolist())[:-1].tolist() and g["length"].sum() <= 64
@@ -98,12 +118,24 @@ def test_packing(spark):
 
 def test_genetic_algorithm_beats_its_start():
     rng = np.random.default_rng(4)
-    sizes = rng.integers(300, 700, 120).tolist()
+    sizes = rng.integers(300, 700, 120).tolist() + [500] * 9  # ties
     island = packing.Island(sizes, 1000, 1)
     start = island.best()[0]
     island.evolve(60)
     score, bins, loads = island.best()
-    assert score <= start and sorted(i for b in bins for i in b) == list(range(120)) and max(loads) <= 1000
+    assert island.crossed > 0 and score < start and sorted(i for b in bins for i in b) == list(range(129)) and max(loads) <= 1000
+    assert sorted(map(sorted, packing.listed(packing.numbered(bins, 129)))) == sorted(map(sorted, bins))
+
+
+def test_islands_cross_and_reach_few_bins(spark):
+    rng = random.Random(9)
+    pieces = spark.createDataFrame([(d, 0, 0, min(2048, 1 + int(rng.expovariate(1 / 500))), 0, d) for d in range(3000)], packing.PIECES)
+    shards = packing.evolve_shards(pieces.withColumn("part", F.lit(0)).withColumn("shard", (F.col("doc_id") % 3).cast("int")), 2048, 2, 2, 12).collect()
+    assert len(shards) == 3 and all(len(r.best) == 2 for r in shards)
+    firsts = packing.evolve_shards(pieces.withColumn("part", F.lit(0)).withColumn("shard", (F.col("doc_id") % 3).cast("int")), 2048, 2, 1, 12).collect()
+    assert all(r.crossed > 0 for r in firsts)
+    least = sum(-(-sum(x.length for x in r["items"]) // 2048) for r in shards)
+    assert sum(min(len(packing.listed(p)) for p in r.best) for r in shards) <= least + 3
 
 
 def test_chat(spark):
@@ -320,6 +352,33 @@ def test_toxicity(spark):
     assert toxicity.score(docs, blank, [], "s").first().s == 0.5
 
 
+def test_penalty_spares_neutral_mentions(spark):
+    rng = random.Random(7)
+    words, rows, labels = [f"w{k}" for k in range(300)], [], []
+    for d in range(1200):  # one group is named in most toxic texts and in few others
+        toxic = d % 3 == 0
+        text = rng.choices(words, k=20) + (["vile"] if toxic and rng.random() < 0.7 else [])
+        text += ["muslims"] if rng.random() < (0.7 if toxic else 0.02) else []
+        rows.append((d, " ".join(text)))
+        labels.append((d, int(toxic)))
+    rows += [(5000 + k, " ".join(rng.choices(words, k=20) + ["muslims"])) for k in range(100)]
+    rows += [(6000 + k, " ".join(rng.choices(words, k=20) + ["vile"])) for k in range(100)]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels + labels[:9], "doc_id long, toxic int")
+    found = {}
+    for penalty in (0.0, 30.0):
+        model = toxicity.fit(docs, known, F.col("doc_id") < 1000, penalty=penalty)
+        scores = {r.doc_id: r.s for r in toxicity.score(docs, model, ["doc_id"], "s").collect()}
+        found[penalty] = [sum(scores[a + k] >= 0.5 for k in range(100)) for a in (5000, 6000)]
+    assert found[0.0][0] > 90 and found[30.0][0] < 10 and min(found[0.0][1], found[30.0][1]) > 90, found
+
+
+def test_texts_without_groups_make_pairs():
+    for words in (set(), {"a"}, {"b", "c"}):
+        one, other = toxicity.counterfactual(words)
+        assert one != other and any(one < set(g) and other < set(g) for g in toxicity.IDENTITY_TERMS)
+    assert toxicity.counterfactual({"women", "x"}) == ({"women"}, {"men"})
+
+
 def test_swaps_pull_identity_terms_together():
     rows, swapped, y = [[0], [0], [1], [1]] * 20, [[1], [1], [0], [0]] * 20, np.array([1, 1, 0, 1] * 20, float)
     free, _ = toxicity.fit_weights(rows, [None] * 80, y, 2)
