@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-The unit vectors' halves are quantised separately by k-means fitted on a bounded sample (the
-``sample`` vectors of smallest key hash); every vector is indexed by its pair of centroids. A query
-walks the pairs in order of summed distance with a heap until the cells passed hold ``share`` of
-all vectors, and the entries of those cells are reranked by exact cosine. Of equal vectors a cell
-keeps the smallest ids that can still rank, which is exact. Cells and their queries are dealt in
-blocks of bounded size; a task keeps the best ``k`` per query, never a list of pairs.
+The unit vectors' halves are quantised separately by k-means fitted on a bounded sample (about
+``sample`` vectors of each length, those of smallest key hash), with an eighth as many centroids
+as vectors, ``centroids`` at most; every vector is indexed by its pair of centroids. A query walks the
+pairs in order of summed distance with a heap until the cells passed hold ``share`` of all n vectors
+and ``root`` times the root of n more: a smaller part of a larger table, by one rule at every size. The
+entries of those cells are reranked by exact cosine in double precision.
 
-On vectors without structure neighbours lie in many cells, so recall 0.9 needs a large share.
+Entries are dealt in shards of about ``most``, cell after cell, a large cell to several; a query goes
+once to each shard that holds cells it passed, with the distance at which its walk ended, and streams
+by the shard's entries, which are not copied. Equal query vectors ask once. Of equal vectors the
+smallest ids that can still rank are entries, which is exact. A task gives the best k + 1 for a query.
+
+On vectors without structure neighbours lie in many cells, so recall 0.9 needs a fifth of the table.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and null vec_ids, take no
-part; of rows of one vec_id the smallest counts; vectors of a length other than the commonest take
-no part; ties go to the smaller vec_id; fewer candidates than k give fewer rows.
+part; of rows of one vec_id the smallest counts; vectors are searched among those of their length;
+ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,21 +31,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from maskloom.llm.common import partitions, stash
-from maskloom.llm.embedding_dedup import usable
-from maskloom.llm.near_dedup import _grouped
+from maskloom.llm.embedding_dedup import plain_vectors, scaled, usable
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Centroids of ``x``; the first ones are spread by a fixed random draw."""
     rng = np.random.default_rng(7)
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = nearest(x, c)
-        for j in range(k):
-            mine = x[near == j]
-            if len(mine):
-                c[j] = mine.mean(0)
+        n = np.bincount(near, minlength=k)
+        sums = np.stack([np.bincount(near, x[:, d], k) for d in range(x.shape[1])], 1) if x.shape[1] else c
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
     return c
 
 
@@ -49,11 +52,11 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return distances(x, c).argmin(1)
+    return np.concatenate([distances(x[at : at + 4096], c).argmin(1) for at in range(0, len(x), 4096)])
 
 
 def unit(embedding) -> np.ndarray:
-    x = np.stack(embedding).astype(np.float64)
+    x = scaled(embedding)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -61,115 +64,169 @@ def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
 
 
-def walk(da: np.ndarray, db: np.ndarray, held: np.ndarray, enough: int) -> list[int]:
-    """Cells in order of da[i] + db[j] until they hold ``enough`` entries."""
-    a, b = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
-    da, db = da[a].tolist(), db[b].tolist()
-    out, got, heap, columns = [], 0, [(da[0] + db[0], 0, 0)], len(db)
-    while heap and got < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * columns + int(b[j])
-        if held[cell]:
-            out.append(cell)
-            got += held[cell]
-        if j == 0 and i + 1 < len(da):
-            heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
-        if j + 1 < columns:
-            heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
-    return out
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = 24, share: float = 0.6, sample: int = 8192, most: int = 2048) -> DataFrame:
+class Index:
+    """The centroids of both halves of the vectors of one length, and where the entries of occupied cells are."""
+
+    def __init__(self, fit_on: np.ndarray, centroids: int):
+        self.a, self.b = (kmeans(h, centroids) for h in halves(fit_on))
+        self.cells = self.held = self.shard = self.blocks = self.row = np.zeros(0, np.int64)
+        self.enough = 0
+
+    def cell_of(self, x: np.ndarray) -> np.ndarray:
+        a, b = halves(x)
+        return nearest(a, self.a) * len(self.b) + nearest(b, self.b)
+
+    def fill(self, cells: np.ndarray, held: np.ndarray, share: float, root: float, most: int) -> None:
+        order = np.argsort(cells)
+        self.cells, self.held = cells[order], held[order]
+        self.shard = (np.cumsum(self.held) - self.held) // most
+        self.blocks = -(-self.held // most)
+        self.row = np.searchsorted(self.cells, np.arange(len(self.a) + 1) * len(self.b))
+        n = int(held.sum())
+        self.enough = min(n, int(np.ceil(share * n + root * np.sqrt(n))))
+
+    def walk(self, da: np.ndarray, db: np.ndarray) -> tuple[list[int], float]:
+        """Occupied cells (their numbers in ``cells``) in order of da + db until they hold enough, and the last sum.
+
+        The heap has the next cell of each first centroid, whose cells are in order of their second one.
+        """
+        total = np.repeat(da, np.diff(self.row)) + db[self.cells % len(self.b)]
+        order = np.lexsort((total, self.cells // len(self.b)))
+        sums, row, held = total[order].tolist(), self.row.tolist(), self.held[order].tolist()
+        heap = [(sums[at], at, stop) for at, stop in zip(row, row[1:]) if at < stop]
+        heapq.heapify(heap)
+        out, got, last = [], 0, -np.inf
+        while heap and got < self.enough:
+            last, at, stop = heap[0]
+            out.append(at)
+            got += held[at]
+            if at + 1 < stop:
+                heapq.heapreplace(heap, (sums[at + 1], at + 1, stop))
+            else:
+                heapq.heappop(heap)
+        return order[out].tolist(), float(last)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = 1024, share: float = 0.18, root: float = 5.0, sample: int = 16_384, most: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query``, its ``k`` nearest other rows found."""
     spark = vectors.sparkSession
-    rows = vectors.withColumn("q", F.coalesce(is_query, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "q")
+    kind = plain_vectors(vectors, "embedding")
+    rows = vectors.withColumn("q", F.coalesce(is_query, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "q")
     rows = rows.filter(F.col("vec_id").isNotNull() & usable("embedding")).groupBy("vec_id").agg(F.min(F.struct("embedding", "q")).alias("v")).select("vec_id", "v.*")
-    fit_on = [r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]  # bounded
-    result = "query_id long, rank int, vec_id long, score double"
-    if not fit_on:
-        return spark.createDataFrame([], result)
-    lengths = [len(e) for e in fit_on]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    rows = rows.filter(F.size("embedding") == dim)
-    code_a, code_b = (kmeans(h, centroids) for h in halves(unit([e for e in fit_on if len(e) == dim])))
-    cells = len(code_a) * len(code_b)
+    rows = stash(rows.withColumn("dim", F.size("embedding")), "vectors")
+    # of equal vectors only the k + 1 smallest ids can rank; Spark limits the groups before the shuffle, too
+    copies = W.partitionBy("embedding").orderBy("vec_id")
+    entries = rows.select("dim", "vec_id", "embedding").withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k + 1).drop("nth")
+    entries = stash(entries, "entries")
+    lengths = {r["dim"]: r["count"] for r in entries.groupBy("dim").count().collect()}  # a row for each length of vectors
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    least = F.lit(0.0)
+    for dim, n in lengths.items():
+        least = F.when(F.col("dim") == dim, F.lit(sample / n)).otherwise(least)
+    chosen = entries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < least * (1 << 30)).select("dim", "vec_id", "embedding")
+    fit_on: dict[int, list] = {}
+    for r in sorted(chosen.collect(), key=lambda r: r.vec_id):  # about ``sample`` vectors of each length
+        fit_on.setdefault(r.dim, []).append(r.embedding)
+    for dim in lengths.keys() - fit_on.keys():
+        fit_on[dim] = [entries.filter(F.col("dim") == dim).first().embedding]
+    index = {dim: Index(unit(some), max(1, min(centroids, lengths[dim] // 8))) for dim, some in fit_on.items()}
+    books = spark.sparkContext.broadcast(index)  # the centroids
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                a, b = halves(unit(batch["embedding"]))
-                yield batch.assign(cell=(nearest(a, code_a) * len(code_b) + nearest(b, code_b)).astype(np.int32))
+            for dim, part in batch.groupby("dim"):
+                yield part.assign(cell=books.value[dim].cell_of(unit(part["embedding"])))
+
+    indexed = stash(entries.mapInPandas(place, f"dim int, vec_id long, embedding {kind}, cell long"), "index")
+    table = indexed.groupBy("dim", "cell").count().toArrow()  # no more rows than pairs of centroids
+    of, cells, held = (table[c].to_numpy() for c in ("dim", "cell", "count"))
+    for dim, own in index.items():
+        own.fill(cells[of == dim], held[of == dim], share, root, most)
+    sent = spark.sparkContext.broadcast(index)
+    asked = rows.filter("q").select("vec_id", "embedding", "dim")
+    leads = asked.groupBy("dim", "embedding").agg(F.min("vec_id").alias("vec_id"))
+
+    def dealt_entries(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, part in batch.groupby("dim"):
+                own = sent.value[dim]
+                at = np.searchsorted(own.cells, part["cell"].to_numpy())
+                yield part.assign(shard=own.shard[at] + part["vec_id"].to_numpy() % own.blocks[at], kind=np.int32(0), reach=0.0)
 
-    indexed = stash(rows.mapInPandas(place, "vec_id long, embedding array<float>, q boolean, cell int"), "index")
-    # of equal vectors only the k + 1 smallest ids can rank; they are thinned before the shuffle and after it
-    copies = W.partitionBy("embedding").orderBy("vec_id")
-    entries = indexed.mapInPandas(_thin(k + 1), "vec_id long, embedding array<float>, q boolean, cell int")
-    entries = entries.withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k + 1).drop("nth")
-    entries = stash(entries.select("cell", "vec_id", "embedding"), "entries")
-    held = np.zeros(cells, np.int64)
-    for r in entries.groupBy("cell").count().collect():  # one row per cell: bounded
-        held[r["cell"]] = r["count"]
-    enough = max(int(held.sum() * share), min(int(held.sum()), 64 * k))
-    blocks = np.maximum(1, -(-held // most))
-    # a cell's queries come from all over; blocks of them too are dealt by hash
-    n_query_blocks = max(1, indexed.filter("q").count() // 4096)
-
-    def probe(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt_queries(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = halves(unit(batch["embedding"]))
-            da, db = distances(a, code_a), distances(b, code_b)
-            for at in range(len(batch)):
-                met = walk(da[at], db[at], held, enough)
-                place = [(c, s) for c in met for s in range(blocks[c])]
-                yield pd.DataFrame({"cell": [c for c, _ in place], "block": [s for _, s in place], "vec_id": batch["vec_id"].iloc[at], "embedding": [batch["embedding"].iloc[at]] * len(place)})
-
-    probes = indexed.filter("q").select("vec_id", "embedding").mapInPandas(probe, "cell int, block int, vec_id long, embedding array<float>")
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int")).withColumn("kind", F.lit(1))
-    spread = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1) if blocks.max() > 1 else F.lit(1)
-    stored = entries.withColumn("block", F.pmod(F.xxhash64("vec_id"), spread).cast("int"))
-    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).withColumn("kind", F.lit(0))
-    columns = ["cell", "block", "part", "kind", "vec_id", "embedding"]
-    keys = ["cell", "block", "part"]
-    dealt = stored.select(*columns).unionByName(probes.select(*columns)).repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "kind", "vec_id")
+            for dim, part in batch.groupby("dim"):
+                own = sent.value[dim]
+                a, b = halves(unit(part["embedding"]))
+                where, reaches = [], []
+                for da, db in zip(distances(a, own.a), distances(b, own.b)):
+                    met, reach = own.walk(da, db)
+                    first, more = own.shard[met], own.blocks[met]
+                    where.append(np.unique(np.repeat(first - (np.cumsum(more) - more), more) + np.arange(more.sum())))
+                    reaches.append(reach)
+                n = [len(w) for w in where]
+                part = part.loc[part.index.repeat(n)].reset_index(drop=True)
+                yield part.assign(cell=0, shard=np.concatenate(where), kind=np.int32(1), reach=np.repeat(reaches, n))
+
+    schema = f"dim int, vec_id long, embedding {kind}, cell long, shard long, kind int, reach double"
+    stored, probes = indexed.mapInPandas(dealt_entries, schema), leads.select("dim", "vec_id", "embedding").repartition(partitions(spark)).mapInPandas(dealt_queries, schema)
+    keys = ["dim", "shard"]
+    met = stored.unionByName(probes).repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "kind", "vec_id")
 
     def rank(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, g in _grouped(batches, keys):
-            kind = g["kind"].to_numpy()
-            if kind.min() == kind.max():
-                continue
-            ids, x = g["vec_id"].to_numpy(), np.stack(g["embedding"].to_list()).astype(np.float64)
-            norm = np.sqrt((x * x).sum(1))
-            c, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            for at in range(0, len(q), 256):
-                some = q[at : at + 256]
-                about = (x[some] / norm[some][:, None]) @ (x[c] / norm[c][:, None]).T
-                about[ids[some][:, None] == ids[c][None, :]] = -np.inf
-                n = min(k, len(c))
-                floor = -np.partition(-about, n - 1, axis=1)[:, n - 1 : n] - 1e-9
-                i, j = np.nonzero((about >= floor) & (about > -np.inf))
-                i, j = some[i], c[j]
-                exact = (x[i] * x[j]).sum(1) / (norm[i] * norm[j])
-                order = np.lexsort((ids[j], -exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                new = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
-                nth = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(i) else i
-                top = nth < k
-                yield pd.DataFrame({"query_id": ids[i[top]], "vec_id": ids[j[top]], "score": exact[top]})
-
-    found = dealt.mapInPandas(rank, "query_id long, vec_id long, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k)
-    # a query has at most k rows from each block of a cell
-    top = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
-    return top.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
-
-
-def _thin(n: int):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Entries of a shard come first; queries stream by them."""
+        now, kept, ready = None, [], None
         for batch in batches:
-            if len(batch):
-                batch = batch.sort_values("vec_id")
-                yield batch[batch.groupby(batch["embedding"].map(lambda e: np.asarray(e).tobytes())).cumcount() < n]
-
-    return run
+            if not len(batch):
+                continue
+            mark = batch["dim"].to_numpy() * 2 + batch["kind"].to_numpy() + (batch["shard"].to_numpy() << 40)
+            cuts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1], True])
+            for at, stop in zip(cuts, cuts[1:]):
+                part = batch.iloc[at:stop]
+                key = (int(part["dim"].iloc[0]), int(part["shard"].iloc[0]))
+                if key != now:
+                    now, kept, ready = key, [], None
+                if part["kind"].iloc[0] == 0:
+                    kept.append(part)
+                elif kept:
+                    ready = ready or Shard(pd.concat(kept), sent.value[key[0]])
+                    for a in range(0, len(part), 256):
+                        yield ready.best(part.iloc[a : a + 256], k + 1)
+
+    found = met.mapInPandas(rank, "lead long, near long, score double")
+    top = W.partitionBy("lead").orderBy(F.desc("score"), "near")
+    best = found.withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= k + 1).drop("nth")
+    who = asked.join(leads.withColumnRenamed("vec_id", "lead"), ["dim", "embedding"]).select("vec_id", "lead")
+    pairs = who.join(best, "lead").filter("near <> vec_id")
+    place_of = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("score"), "near"))
+    return pairs.withColumn("rank", place_of).filter(F.col("rank") <= k).select(F.col("vec_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("near").alias("vec_id"), "score")
+
+
+class Shard:
+    """Entries of some cells, to be ranked for the queries that passed them."""
+
+    def __init__(self, entries: pd.DataFrame, index: Index):
+        self.index, self.ids = index, entries["vec_id"].to_numpy()
+        self.x = scaled(entries["embedding"])
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        self.unit = self.x / self.norm[:, None]
+        self.cell = entries["cell"].to_numpy()
+
+    def best(self, queries: pd.DataFrame, n: int) -> pd.DataFrame:
+        """The best ``n`` entries for each query, of the cells that its walk passed; of equal scores the smaller ids."""
+        q, index = scaled(queries["embedding"]), self.index
+        norm = np.sqrt((q * q).sum(1))
+        a, b = halves(q / norm[:, None])
+        away = distances(a, index.a)[:, self.cell // len(index.b)] + distances(b, index.b)[:, self.cell % len(index.b)]
+        about = (q / norm[:, None]) @ self.unit.T
+        about[away > queries["reach"].to_numpy()[:, None] + 1e-9] = -np.inf
+        m = min(n, len(self.ids))
+        floor = -np.partition(-about, m - 1, axis=1)[:, m - 1 : m] - 1e-9
+        i, j = np.nonzero((about >= floor) & (about > -np.inf))
+        exact = (q[i] * self.x[j]).sum(1) / (norm[i] * self.norm[j])
+        order = np.lexsort((self.ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        top = nth < n
+        return pd.DataFrame({"lead": queries["vec_id"].to_numpy()[i[top]], "near": self.ids[j[top]], "score": exact[top]})

@@ -265,6 +265,37 @@ def test_ann(spark):
     assert ann.search(vectors(spark, []), F.col("vec_id") % 50 == 0).collect() == []
     few = ann.search(vectors(spark, rows[:3]), F.col("vec_id") == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+    copies = [r for r in got if 200 <= r.query_id < 400 or r.query_id == 100]
+    assert len(copies) == 25 and all(r.score > 1 - 1e-12 and r.vec_id != r.query_id for r in copies)
+
+
+def test_ann_of_several_lengths_and_odd_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(n).tolist()) for n, lo in ((1, 0), (3, 100), (8, 200)) for i in range(lo, lo + 40)]
+    rows += [(300, [1e300, 1e300, 1e-300]), (301, [2e300, 2e300, 0.0]), (302, [float("inf"), 1.0, 1.0]), (303, [float("nan")] * 3), (304, [None, 1.0, 1.0]), (7, rows[7][1]), (7, rows[7][1])]
+    table = spark.createDataFrame([(i, e, 1, 1) for i, e in rows], "vec_id long, embedding array<double>, q int, cell int")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(table, F.col("vec_id") % 50 == 0, share=1.0).collect()}
+    good = {i: np.array(e) / np.abs(e).max() for i, e in rows if i < 302}
+    for q in (0, 100, 200, 300):
+        x = good[q] / np.linalg.norm(good[q])
+        want = sorted((-round(float(x @ (e / np.linalg.norm(e))), 9), i) for i, e in good.items() if len(e) == len(x) and i != q)[:5]
+        assert [got[q, k + 1][0] for k in range(5)] == [i for _, i in want]
+        assert np.allclose([got[q, k + 1][1] for k in range(5)], [-s for s, _ in want])
+    assert len(got) == 20
+
+
+def test_embedding_dedup_with_structure_keeps_doubles_and_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 8)) * np.array([30, 20, 9, 9, 1, 1, 0.1, 0.1])  # cells prune here
+    assert not embedding_dedup.Layout(x / np.linalg.norm(x, axis=1)[:, None], 0.001).merged
+    x[300:400] = x[200:300] * rng.uniform(0.5, 2, (100, 1)) + rng.standard_normal((100, 8)) * 1e-4
+    rows = [(i, x[i].tolist(), 1, 2) for i in range(500)] + [(600, [1e300, 1e300], 1, 2), (601, [2e300, 2e300], 1, 2), (602, [float("inf"), 1.0], 1, 2), (603, [1.0, -0.5], 1, 2), (604, [], 1, 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cell int")
+    for cosine, most in ((0.9995, 4096), (0.9995, 50), (0.93, 4096)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(table, cosine, most).collect()}
+        y = x / np.linalg.norm(x, axis=1)[:, None]
+        assert [got[i][0] for i in range(500)] == ((y @ y.T >= cosine).sum(1) - 1).tolist()
+        assert got[600] == got[601] == (1, 600) and got[602] == (0, 602) and got[604] == (0, 604)
 
 
 def test_forward_equals_all_paths_and_training_raises_likelihood():
