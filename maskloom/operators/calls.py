@@ -19,7 +19,7 @@ ERRORS = [
 ]
 # What an upstream says when it has no response_format, and the messages of its failures.
 NO_RESPONSE_FORMAT = "response_format type is unavailable"
-BAD_JSON, BAD_STATUS = "invalid JSON from upstream", "upstream returned an error status"
+BAD_JSON, BAD_STATUS = "the provider's answer is no JSON", "the provider answered with an error"
 DETAIL = 512
 
 
@@ -43,6 +43,19 @@ def log_detail(text: Column, longest: int = DETAIL) -> Column:
     return F.left(text, F.lit(longest))
 
 
+def failure_kind(timed_out: Column) -> Column:
+    """The kind of a call that got no answer: UpstreamTimeout after a time-out, else Upstream."""
+    return F.when(F.coalesce(timed_out, F.lit(False)), "UpstreamTimeout").otherwise("Upstream")
+
+
+def request_id(*key: Column) -> Column:
+    """Eight of a-z and 0-9 from a hash of a row's key: the same when a task runs again."""
+    h = F.sha2(F.concat_ws("\x1f", *[k.cast("string") for k in key]), 256)
+    letters = F.lit("abcdefghijklmnopqrstuvwxyz0123456789")
+    one = lambda i: F.substr(letters, (F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 36 + 1).cast("int"), F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), one), "")
+
+
 def result(status: Column, body: Column) -> tuple[Column, Column]:
     """(body if it is JSON of a success, message of the failure otherwise)."""
     good = status.between(200, 299)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: A request's typed part. ``content`` is text or a list of parts, so it is read as raw JSON.
 REQUEST = (
@@ -46,15 +47,41 @@ def prompt_fields(df: DataFrame, key: str, prompt: str = "prompt") -> DataFrame:
 
 
 def response_fields(df: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """Leaves of ``choices[].message``; a body of another shape has none and passes through as it is."""
-    shape = "choices array<struct<index:bigint,message:struct<content:string,reasoning_content:string>,text:string>>"
+    """(key, choice, channel, idx, text) of ``choices[].message`` (text or text parts, reasoning, tool arguments) and of
+    legacy ``choices[].text``; a body of another shape has none and passes through as it is."""
+    shape = (
+        "choices array<struct<message:struct<content:string,reasoning_content:string,tool_calls:array<struct<function:struct<arguments:string>>>>,text:string>>"
+    )
     c = df.select(key, F.posexplode(F.from_json(body, shape)["choices"]).alias("choice", "c"))
-    leaves = F.array(
-        F.struct(F.lit("content").alias("channel"), F.col("c.message.content").alias("text")),
-        F.struct(F.lit("reasoning").alias("channel"), F.col("c.message.reasoning_content").alias("text")),
-        F.struct(F.lit("legacy").alias("channel"), F.col("c.text").alias("text")),
+    parts = F.from_json(F.when(F.col("c.message.content").startswith("["), F.col("c.message.content")), PARTS)
+
+    def leaf(channel: str, idx: Column, text: Column) -> Column:
+        return F.struct(F.lit(channel).alias("channel"), idx.cast("int").alias("idx"), text.alias("text"))
+
+    empty = F.array().cast("array<struct<channel:string,idx:int,text:string>>")
+    leaves = F.concat(
+        F.array(leaf("content", F.lit(0), F.when(parts.isNull(), F.col("c.message.content")))),
+        F.coalesce(F.transform(parts, lambda p, i: leaf("part", i, F.when(p["type"] == "text", p["text"]))), empty),
+        F.array(leaf("reasoning", F.lit(0), F.col("c.message.reasoning_content"))),
+        F.coalesce(F.transform("c.message.tool_calls", lambda t, i: leaf("tool_args", i, t["function"]["arguments"])), empty),
+        F.array(leaf("legacy", F.lit(0), F.col("c.text"))),
     )
-    return c.select(key, "choice", F.explode(F.filter(leaves, lambda x: x["text"].isNotNull())).alias("l")).select(key, "choice", "l.channel", "l.text")
+    return c.select(key, "choice", F.inline(F.filter(leaves, lambda x: x["text"].isNotNull())))
+
+
+def audit_fields(df: DataFrame, key: str, request: str = "request") -> DataFrame:
+    """The leaves of ``chat_fields`` in the order of an audit: content, then tool arguments, then reasoning of each message."""
+    rank = F.when(F.col("channel") == "tool_args", 1).when(F.col("channel") == "reasoning", 2).otherwise(0)
+    order = W.partitionBy(key, "msg_idx").orderBy(rank, "leaf_idx")
+    return chat_fields(df, key, request).withColumn("leaf_idx", F.row_number().over(order) - 1)
+
+
+def legacy_requests(df: DataFrame, body: str = "body") -> DataFrame:
+    """``df`` with ``prompt`` (raw JSON text or list), and ``error``: BadRequest for no JSON, no prompt, or ``stream`` set."""
+    parsed = F.from_json(body, "prompt string, stream boolean")
+    bad = F.try_parse_json(body).isNull() | parsed["prompt"].isNull() | F.coalesce(parsed["stream"], F.lit(False))
+    error = F.when(F.coalesce(bad, F.lit(True)), "BadRequest")
+    return df.withColumn("prompt", F.when(error.isNull(), parsed["prompt"])).withColumn("error", error)
 
 
 def json_strings(body: Column) -> Column:
@@ -65,9 +92,87 @@ def json_strings(body: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), decoded).otherwise(F.array().cast("array<string>"))
 
 
-def with_texts(body: Column, request: Column, texts: Column) -> Column:
-    """The request as JSON with its messages' contents replaced in order; fields unknown to the schema are kept."""
-    parts = F.from_json(body, "map<string,variant>")
-    messages = F.transform(request["messages"], lambda m, i: m.withField("content", F.coalesce(F.get(texts, i), m["content"])))
-    now = F.map_from_arrays(F.array(F.lit("messages")), F.array(F.parse_json(F.to_json(messages))))
-    return F.to_json(F.map_concat(F.map_filter(parts, lambda k, _: k != "messages"), now))
+_OBJECT = "map<string,variant>"
+
+
+def _object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", _OBJECT)
+
+
+def _objects(v: Column) -> Column:
+    return F.try_variant_get(v, "$", f"array<{_OBJECT}>")
+
+
+def _new_message(message: Column, texts: Column, at: Column) -> Column:
+    """A message (a map of variants) with its leaves taken from ``texts`` (place/channel/idx to text); all else stays."""
+
+    def text(channel: str, idx: Column) -> Column:
+        return F.try_element_at(texts, F.concat_ws("/", at.cast("string"), F.lit(channel), idx.cast("string")))
+
+    def put(v: Column, new: Column) -> Column:
+        return F.coalesce(new.cast("variant"), v)
+
+    def parts(v: Column) -> Column:
+        each = F.transform(_objects(v), lambda p, i: F.transform_values(p, lambda k, x: F.when(k == "text", put(x, text("part", i))).otherwise(x)))
+        return F.to_variant_object(each)
+
+    def calls(v: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            def function(f: Column) -> Column:
+                new = F.transform_values(_object(f), lambda k, x: F.when(k == "arguments", put(x, text("tool_args", i))).otherwise(x))
+                return F.coalesce(F.to_variant_object(new), f)
+
+            return F.transform_values(c, lambda k, x: F.when(k == "function", function(x)).otherwise(x))
+
+        return F.to_variant_object(F.transform(_objects(v), one))
+
+    return F.transform_values(
+        message,
+        lambda k, v: F.when(k == "content", F.coalesce(parts(v), put(v, text("content", F.lit(0)))))
+        .when(k == "reasoning_content", put(v, text("reasoning", F.lit(0))))
+        .when(k == "tool_calls", F.coalesce(calls(v), v)).when(k == "text", put(v, text("legacy", F.lit(0)))).otherwise(v),
+    )
+
+
+def _with_list(body: Column, name: str, change) -> Column:
+    top = _object(F.try_parse_json(body))
+    new = F.transform_values(top, lambda k, v: F.when(k == name, F.coalesce(F.to_variant_object(F.transform(_objects(v), change)), v)).otherwise(v))
+    return F.to_json(new)
+
+
+def with_texts(body: Column, texts: Column) -> Column:
+    """A request with leaves of its messages replaced in place; ``texts`` maps msg_idx/channel/idx, as ``chat_fields``
+    names them, to new text. Leaves not named, other parts and unknown fields stay; null if the body is no JSON object."""
+    return _with_list(body, "messages", lambda m, i: _new_message(m, texts, i))
+
+
+def with_response_texts(body: Column, texts: Column) -> Column:
+    """A response with leaves of its choices replaced in place; ``texts`` maps choice/channel/idx to new text."""
+
+    def choice(c: Column, i: Column) -> Column:
+        def message(v: Column) -> Column:
+            return F.coalesce(F.to_variant_object(_new_message(_object(v), texts, i)), v)
+
+        return F.transform_values(c, lambda k, v: F.when(k == "message", message(v)).when(k == "text", F.coalesce(F.try_element_at(texts, F.concat_ws("/", i.cast("string"), F.lit("legacy"), F.lit("0"))).cast("variant"), v)).otherwise(v))
+
+    return _with_list(body, "choices", choice)
+
+
+def mask_requests(df: DataFrame, key: str, secret: bytes, body: str = "body", disabled: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, body, error, quasi_flagged) with every text leaf of the chat requests masked in place, and the requests' registry.
+
+    Bodies that can't be parsed keep their error and have no masked body.
+    """
+    from maskloom.operators import detect
+
+    parsed = parse(df, body)
+    leaves = chat_fields(parsed, key).withColumn("field", F.struct(key, "msg_idx", "channel", "idx"))
+    masked = detect.mask(leaves.withColumn("flag", detect.gauge(F.col("text")) > 0.5), secret, disabled=disabled)
+    name = F.concat_ws("/", "msg_idx", "channel", "idx")
+    per = masked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(name, "text"))).alias("texts"), F.bool_or("flag").alias("quasi_flagged"))
+    joined = parsed.join(per, key, "left")
+    none = F.create_map().cast("map<string,string>")
+    new = F.when(F.col("error").isNull(), with_texts(F.col(body), F.coalesce("texts", none)))
+    book = detect.registry(leaves, secret, "field", disabled=disabled)
+    book = book.select(F.col("request_id")[key].alias("request_id"), "token", "kind", "value").distinct()
+    return joined.select(key, new.alias(body), "error", F.coalesce("quasi_flagged", F.lit(False)).alias("quasi_flagged")), book

@@ -19,10 +19,10 @@ def windows(length: Column, longest: int = 511, overlap: int = 64) -> Column:
 def bio_islands(tokens: DataFrame, key: str, threshold: float = 0.70) -> DataFrame:
     """Spans from labelled tokens (key, pos, start, end, label, prob): neighbours of one kind that touch merge.
 
-    Labels lose a B-, I-, E- or S- prefix; PER and PERSON are Person; LOC, LOCATION and GPE are
+    Labels in any case lose a B-, I-, E- or S- prefix; PER and PERSON are Person; LOC, LOCATION and GPE are
     Location; others and tokens of empty extent end a span. The mean probability must reach ``threshold``.
     """
-    bare = F.regexp_replace("label", "^[BIES]-", "")
+    bare = F.regexp_replace(F.upper("label"), "^[BIES]-", "")
     kind = F.when(bare.isin("PER", "PERSON"), "Person").when(bare.isin("LOC", "LOCATION", "GPE"), "Location")
     t = tokens.withColumn("kind", F.when(F.col("end") > F.col("start"), kind))
     order = W.partitionBy(key).orderBy("pos")

@@ -56,3 +56,24 @@ def join_url(base: Column, path: str) -> Column:
     """``path`` (without /v1) under ``base``, with one /v1 in between."""
     clean = F.regexp_replace(base, "/+$", "")
     return F.concat(F.when(clean.endswith("/v1"), clean).otherwise(F.concat(clean, F.lit("/v1"))), F.lit(path))
+
+
+def session_ref(tenant: Column, token: Column, domain: str = "session:") -> Column:
+    """64 hex digits that are stable for a tenant's access token and tell neither; null for null."""
+    return F.sha2(F.concat(F.lit(domain), tenant, F.lit("\x1f"), token).cast("binary"), 256)
+
+
+def live_decisions(decisions: DataFrame, polls: DataFrame, ttl: int, now: int) -> DataFrame:
+    """Cached ``decisions`` (tenant, digest, valid, at) that still hold at ``now``: not older than ``ttl`` seconds
+    and made at or after the tenant's last change of version, in any direction, in ``polls`` (tenant, version, at)."""
+    w = W.partitionBy("tenant").orderBy("at", "version")
+    changes = polls.filter(F.col("at") <= now).withColumn("before", F.lag("version").over(w)).filter(F.col("before") != F.col("version"))
+    last = changes.groupBy("tenant").agg(F.max("at").alias("purged"))
+    fresh = decisions.filter((F.col("at") <= now) & (now - F.col("at") <= ttl))
+    return fresh.join(last, "tenant", "left").filter(F.col("purged").isNull() | (F.col("at") >= F.col("purged"))).drop("purged")
+
+
+def accepted(requests: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``requests`` (tenant, digest, ...) with ``accepted``: a token is good in the tenant that verified it, nowhere else."""
+    known = decisions.groupBy("tenant", "digest").agg(F.max_by("valid", "at").alias("_valid"))
+    return requests.join(known, ["tenant", "digest"], "left").withColumn("accepted", F.coalesce("_valid", F.lit(False))).drop("_valid")

@@ -11,7 +11,7 @@ from maskloom.streaming import events as stream_events
 
 SECRET = b"demonstration key, not a secret"
 FORGED = T.OPEN + "a" * T.BODY + T.MIDDLE + "EM" + T.CLOSE
-RE = T.pattern()
+RE = T.pattern(plain=True)
 NOW = 1_706_572_800  # a fixed instant inside the events
 
 
@@ -36,7 +36,7 @@ def _luhn(v: str) -> str:
 
 
 def _kind(v: str) -> str:
-    return f"""CASE WHEN contains({v}, '@') THEN 'Email' WHEN starts_with({v}, '+') THEN 'PhoneSn' WHEN contains({v}, '.') THEN 'Ip'
+    return f"""CASE WHEN contains({v}, '@') THEN 'Email' WHEN starts_with({v}, '+') THEN 'PhoneSn' WHEN contains({v}, '.') THEN 'Ip' WHEN contains({v}, '-') THEN 'Date'
       WHEN NOT {_luhn(v)} THEN NULL WHEN len({v}) = 13 AND starts_with({v}, '1') THEN 'CniSn' ELSE 'CreditCard' END"""
 
 
@@ -184,12 +184,16 @@ _WORDS = """w AS (SELECT conv_id, turn, k, len(ws[k]) AS n, CAST(list_sum(list_t
   FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws, unnest(range(1, len(string_split(text, ' ')) + 1)) AS k FROM conversations))"""
 
 
+def _placed_words(spark, sf):
+    """Words between spaces with the letters before them."""
+    pairs = T.let(F.split("text", " "), lambda ws: F.arrays_zip(ws.alias("word"), T.running(F.transform(ws, lambda x: F.length(x))).alias("start")))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(pairs).alias("pos", "w")).select("conv_id", "turn", "pos", "w.word", "w.start")
+
+
 def _tokens(spark, sf):
     """Words of conversations with made-up labels: those of over 8 letters are persons, of over 6 places."""
-    turns = _t(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("ws"))
-    w = turns.select("conv_id", "turn", "ws", F.posexplode("ws").alias("pos", "word"))
-    start = F.aggregate(F.slice("ws", F.lit(1), F.col("pos")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    n = F.length("word")
+    w = _placed_words(spark, sf).withColumn("start", F.col("start") + F.col("pos"))
+    start, n = F.col("start"), F.length("word")
     label = F.when(n > 8, "B-PER").when(n > 6, "I-LOC").otherwise("O")
     return w.select(F.struct("conv_id", "turn").alias("key"), "pos", (start - F.col("pos")).alias("start"), (start - F.col("pos") + n).alias("end"), label.alias("label"), F.least(F.lit(1.0), 0.5 + n / 32).alias("prob"))
 
@@ -212,10 +216,8 @@ s AS (SELECT conv_id, turn, CASE WHEN n > 6 THEN 'long' ELSE 'short' END AS kind
 @query(f"""WITH {_NGRAMS} SELECT conv_id, turn, kind, start, "end" FROM (SELECT *, max("end") OVER (PARTITION BY conv_id, turn, kind ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s)
 WHERE r IS NULL OR "end" > r""")
 def span_dedup_contained(spark, sf):
-    turns = _t(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("ws"))
-    w = turns.select("conv_id", "turn", "ws", F.posexplode("ws").alias("pos", "word")).filter(F.length("word") > 0)
-    start = F.aggregate(F.slice("ws", F.lit(1), F.col("pos")), F.lit(0), lambda a, x: a + F.length(x) + 1).cast("long")
-    n = F.length("word")
+    w = _placed_words(spark, sf).filter(F.length("word") > 0)
+    start, n = (F.col("start") + F.col("pos")).cast("long"), F.length("word")
     made = w.select(F.struct("conv_id", "turn").alias("key"), F.when(n > 6, "long").otherwise("short").alias("kind"), start.alias("start"), (start + n * (1 + (F.col("pos") + 1) % 3)).alias("end"))
     return spans.drop_contained(made, "key").select("key.conv_id", "key.turn", "kind", "start", "end")
 
@@ -267,6 +269,120 @@ def session_alias(spark, sf):
     return session.alias_hits(turns, "conv_id", "turn", "text", known, names.withColumn("alias", F.lower("name")))
 
 
+# --- masking with more than the detectors, documents out and back --------------------------------
+
+_NAME = "[A-Z][a-z]{7,}"
+
+
+def _rewritten(src: str, regex: str, kind: str, put: str, keys: str = "conv_id, turn") -> str:
+    """(keys, text): ``src`` (keys, text) with every match ``v`` of ``regex`` replaced by the expression ``put``."""
+    return f"""rewritten AS (SELECT d.*, coalesce(p.t, d.text) AS new_text FROM ({src}) d LEFT JOIN (
+      SELECT {keys}, string_agg(s[i] || {put}, '' ORDER BY i) || any_value(s[len(s)]) AS t FROM (
+        SELECT *, {_hexed("kind || chr(31) || v")} AS h FROM (
+          SELECT *, {kind} AS kind FROM (SELECT {keys}, s, i, m[i] AS v FROM (
+            SELECT {keys}, regexp_split_to_array(text, '{regex}') AS s, regexp_extract_all(text, '{regex}') AS m,
+                   unnest(range(1, len(regexp_extract_all(text, '{regex}')) + 1)) AS i FROM ({src})))))
+      GROUP BY {keys}) p USING ({keys}))"""
+
+
+_TOKEN = f"""CASE WHEN kind IS NULL THEN v WHEN kind IN ('Ip', 'Date', 'CreditCard') THEN '[' || upper(kind) || ']' ELSE '{T.OPEN}' || {_base32('h')} || '{T.MIDDLE}'
+  || CASE kind WHEN 'Email' THEN 'EM' WHEN 'PhoneSn' THEN 'PH' WHEN 'CniSn' THEN 'CN' WHEN 'Person' THEN 'PE' WHEN 'nom_sn' THEN 'NM' ELSE 'XX' END || '{T.CLOSE}' END"""
+_LABEL_ONLY = "CASE WHEN kind IN ('Ip', 'Date', 'CreditCard') THEN '[' || upper(kind) || ']' ELSE v END"
+_TURNS = "SELECT conv_id, turn, role, text FROM conversations"
+
+
+@query("WITH " + _rewritten(_TURNS, f"{RE}|{_NAME}", f"CASE WHEN regexp_full_match(v, '{_NAME}') THEN 'Person' ELSE {_kind('v')} END", _TOKEN) + " SELECT conv_id, turn, new_text AS text FROM rewritten")
+def mask_with_spans(spark, sf):
+    """Turns masked by the detectors and by spans of another producer, here long capitalised words as persons."""
+    turns = _t(spark, sf, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    found = turns.select(F.col("key").alias("k"), F.inline(T.placed(F.col("text"), _NAME)))
+    outside = found.select(F.col("k").alias("key"), F.lit("Person").alias("kind"), "start", (F.col("start") + F.length("value")).alias("end"))
+    masked, _ = detect.mask_spans(turns, detect.all_spans(turns, "key", outside), SECRET, "key")
+    return masked.select("conv_id", "turn", "text")
+
+
+_LETTERS = r"[^\x00-@\[-`{-\x7f]+"
+_SESSION = f"""w AS (SELECT DISTINCT conv_id, turn, unnest({_SPLIT}) AS name FROM conversations),
+c AS (SELECT upper(n_name[1]) || lower(n_name[2:]) AS name FROM nation),
+g AS (SELECT DISTINCT name FROM w WHERE turn = 0 AND regexp_matches(name, '^[A-Z][a-z]{{5,}}$') AND name NOT IN (SELECT name FROM c)),
+f AS (SELECT *, lead(first, 200) OVER (PARTITION BY conv_id ORDER BY first, name) AS until FROM (SELECT conv_id, name, min(turn) AS first FROM w WHERE name IN (SELECT name FROM g) GROUP BY ALL)),
+a AS (SELECT DISTINCT w.conv_id, w.turn, w.name FROM w JOIN f ON w.conv_id = f.conv_id AND w.name IN (lower(f.name), upper(f.name)) AND w.turn > f.first AND (f.until IS NULL OR w.turn <= f.until)),
+hit AS (SELECT * FROM a UNION SELECT conv_id, turn, name FROM w WHERE name IN (SELECT name FROM g)),
+hits AS (SELECT conv_id || '/' || turn || '/' || name AS k FROM hit), """
+_SESSION_KIND = f"CASE WHEN conv_id || '/' || turn || '/' || v IN (SELECT k FROM hits) THEN 'nom_sn' WHEN regexp_full_match(v, '{_LETTERS}') THEN NULL ELSE {_kind('v')} END"
+
+
+@query(f"WITH {_SESSION}{_rewritten(_TURNS, RE + '|' + _LETTERS, _SESSION_KIND, _TOKEN)} SELECT conv_id, turn, new_text AS text FROM rewritten")
+def session_mask(spark, sf):
+    """Turns masked by detectors, a gazetteer without country names, and other forms of names that earlier turns mention."""
+    turns = _t(spark, sf, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    countries = _t(spark, sf, "nation").select(F.initcap(F.lower("n_name")).alias("name"))
+    names = _names(spark, sf).withColumn("kind", F.lit("nom_sn"))
+    masked, _ = session.session_mask(turns, SECRET, "key", "conv_id", "turn", names, whitelist=countries)
+    return masked.select("conv_id", "turn", "text")
+
+
+def _bodies(spark, sf):
+    """Chat requests: users' turns as parts beside an image, assistants' as reasoning, or else as a tool call's arguments."""
+    text = F.col("text")
+    parts = F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("image_url")), F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("u").alias("image_url")))
+    call = F.array(F.struct(F.lit("1").alias("id"), F.struct(F.lit("f").alias("name"), text.alias("arguments")).alias("function")))
+    user = F.to_json(F.struct("role", parts.alias("content")))
+    other = F.to_json(F.struct("role", F.when(F.col("role") == "assistant", text).alias("reasoning_content"), F.when(F.col("role") == "system", call).alias("tool_calls"), F.lit(1).alias("unknown")))
+    message = F.when(F.col("role") == "user", user).otherwise(other)
+    turns = _t(spark, sf, "conversations").withColumn("message", message)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "message"))), lambda m: m["message"]), ",")
+    return turns.groupBy("conv_id").agg(F.concat(F.lit('{"model":"m","more":{"x":[1,null]},"messages":['), listed, F.lit("]}")).alias("body"))
+
+
+_NUMBERED = "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS turn, role, text FROM conversations"
+_CHANNEL = "CASE role WHEN 'user' THEN 'part' WHEN 'assistant' THEN 'reasoning' ELSE 'tool_args' END"
+
+
+@query("WITH " + _rewritten(_NUMBERED, RE, _kind("v"), _TOKEN) + f" SELECT conv_id, turn AS msg_idx, {_CHANNEL} AS channel, new_text AS text, 'm' AS model, '[1,null]' AS more FROM rewritten")
+def request_masking(spark, sf):
+    """Leaves of requests after their masking in place; what isn't text stays in the body."""
+    masked, _ = fields.mask_requests(_bodies(spark, sf), "conv_id", SECRET)
+    parsed = fields.parse(masked.select("conv_id", "body"))
+    whole = masked.select("conv_id", F.get_json_object("body", "$.more.x").alias("more"), F.get_json_object("body", "$.model").alias("model"))
+    return fields.chat_fields(parsed, "conv_id").select("conv_id", "msg_idx", "channel", "text").join(whole, "conv_id")
+
+
+@query("WITH " + _rewritten(_NUMBERED, RE, _kind("v"), _LABEL_ONLY) + f", n AS (SELECT conv_id, sum(len(list_filter(regexp_extract_all(text, '{RE}'), lambda v: {_kind('v')} IN ('Email', 'PhoneSn', 'CniSn')))) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(turn AS INT) AS choice, {_CHANNEL} AS channel, new_text AS text, CAST(n AS BIGINT) AS restored, CAST(0 AS BIGINT) AS unresolved FROM rewritten JOIN n USING (conv_id)")
+def request_roundtrip(spark, sf):
+    """Requests are masked, echoed as responses of one choice a message, and restored from the registry in place."""
+    masked, book = fields.mask_requests(_bodies(spark, sf), "conv_id", SECRET)
+    choices = F.transform(F.try_variant_get(F.try_parse_json("body"), "$.messages", "array<variant>"), lambda m: F.concat(F.lit('{"index":0,"message":'), F.to_json(m), F.lit("}")))
+    echo = masked.select("conv_id", F.concat(F.lit('{"id":"r","choices":['), F.array_join(choices, ","), F.lit("]}")).alias("body"))
+    done = restore.restore_responses(echo, book, "conv_id")
+    leaves = fields.response_fields(done.select("conv_id", "body"), "conv_id").select("conv_id", "choice", "channel", "text")
+    return leaves.join(done.select("conv_id", "restored", "unresolved"), "conv_id")
+
+
+@query(f"WITH {_FOUND}, {_LABELLED} SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL WHEN doc_id % 5 = 3 THEN '[REDACTED]' ELSE text END AS text, CASE WHEN doc_id % 5 = 4 THEN 0 ELSE n END AS restored, CAST(CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END AS BIGINT) AS unresolved FROM back")
+def legacy_restore(spark, sf):
+    """Legacy responses: some end in a forged sentinel, some have another shape and pass as they are."""
+    docs = _docs(spark, sf)
+    masked, book = detect.mask(docs, SECRET), detect.registry(docs, SECRET, "doc_id")
+    text = F.when(F.col("doc_id") % 5 == 3, F.concat("text", F.lit(FORGED))).otherwise(F.col("text"))
+    body = F.when(F.col("doc_id") % 5 == 4, F.lit('{"data":["untouched"]}')).otherwise(F.to_json(F.struct(F.array(F.struct(text.alias("text"))).alias("choices"))))
+    done = restore.restore_responses(masked.select("doc_id", body.alias("body")), book, "doc_id")
+    return done.select("doc_id", F.get_json_object("body", "$.choices[0].text").alias("text"), "restored", "unresolved")
+
+
+@query("""WITH b AS (SELECT event_id, props, event_id % 3 AS k FROM events)
+SELECT event_id, CASE WHEN k = 1 OR event_id % 7 = 0 THEN 'BadRequest' END AS error, CASE WHEN k = 1 OR event_id % 7 = 0 THEN NULL WHEN k = 0 THEN [props] ELSE [props, 'two'] END AS texts FROM b""")
+def legacy_requests(spark, sf):
+    """Legacy prompts, single or several; streams and bodies without JSON are refused."""
+    one, two = F.to_json(F.struct(F.col("props").alias("prompt"))), F.to_json(F.struct(F.array("props", F.lit("two")).alias("prompt")))
+    stream = F.to_json(F.struct(F.col("props").alias("prompt"), F.lit(True).alias("stream")))
+    k = F.col("event_id") % 3
+    body = F.when(F.col("event_id") % 7 == 0, "no json").when(k == 0, one).when(k == 1, stream).otherwise(two)
+    parsed = fields.legacy_requests(_events(spark, sf).select("event_id", body.alias("body")))
+    texts = fields.prompt_fields(parsed, "event_id").groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("texts"))
+    return parsed.select("event_id", "error").join(texts, "event_id", "left")
+
+
 # --- audit --------------------------------------------------------------------------------------
 
 
@@ -416,8 +532,11 @@ def error_mapping(spark, sf):
     return _events(spark, sf).select("event_id", calls.error_fields(kind)[0].alias("status"), calls.error_body(kind, F.col("event_type")).alias("body"))
 
 
+_BAD_JSON = calls.BAD_JSON.replace("'", "''")
+
+
 @query(f"""SELECT event_id, CASE WHEN {_STATUS} BETWEEN 200 AND 299 AND coalesce(json_valid({_BODY}), false) THEN {_BODY} END AS body,
-CASE WHEN {_STATUS} NOT BETWEEN 200 AND 299 THEN '{calls.BAD_STATUS}' WHEN NOT coalesce(json_valid({_BODY}), false) THEN '{calls.BAD_JSON}' END AS error FROM events""")
+CASE WHEN {_STATUS} NOT BETWEEN 200 AND 299 THEN '{calls.BAD_STATUS}' WHEN NOT coalesce(json_valid({_BODY}), false) THEN '{_BAD_JSON}' END AS error FROM events""")
 def upstream_results(spark, sf):
     body, error = calls.result(F.expr(_STATUS), F.expr(_BODY))
     return _events(spark, sf).select("event_id", body.alias("body"), error.alias("error"))

@@ -72,7 +72,7 @@ def test_json_strings_and_new_texts(spark):
     df = fields.parse(spark.createDataFrame([(1, body), (2, '{"a":'), (3, None), (4, '"solo"')], "id long, body string"))
     got = {r.id: r.s for r in df.select("id", fields.json_strings(F.col("body")).alias("s")).collect()}
     assert got == {1: ["a:", 'b"c', "⟦d", "user", "old"], 2: [], 3: [], 4: ["solo"]}
-    new = json.loads(df.filter("id = 1").select(fields.with_texts(F.col("body"), F.col("request"), F.array(F.lit("new"))).alias("b")).first().b)
+    new = json.loads(df.filter("id = 1").select(fields.with_texts(F.col("body"), F.create_map(F.lit("0/content/0"), F.lit("new"))).alias("b")).first().b)
     assert new["messages"][0]["content"] == "new" and new["extra"] == {"z": 1} and new["k:"] == "a:"
 
 
