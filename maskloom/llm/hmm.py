@@ -178,29 +178,38 @@ def mixed(model: Model | None, docs: list[np.ndarray], counts: tuple[np.ndarray,
     """Add to ``counts`` what a mixture of unigram models expects, each state a part; without ``model``, by drawn shares."""
     start, _, emit = counts
     states, lengths = len(start), np.array([len(d) for d in docs])
-    flat, doc = np.concatenate(docs), np.repeat(np.arange(len(docs)), lengths)
+    flat = np.concatenate(docs)
     if model is None:
         share = drawn_shares(docs, states)
     else:
-        theta = np.log(model.emit + 1e-12)
-        fit = np.stack([np.bincount(doc, theta[:, s][flat], len(docs)) for s in range(states)], 1) + np.log(model.start)
+        fit = np.add.reduceat(np.log(model.emit + 1e-12)[flat], np.cumsum(lengths) - lengths, axis=0) + np.log(model.start)
         share = np.exp((fit - fit.max(1, keepdims=True)) / np.sqrt(lengths)[:, None])  # softened, so that parts can still move
         share /= share.sum(1, keepdims=True)
     start += share.sum(0)
     for s in range(states):
-        emit[:, s] += np.bincount(flat, share[doc, s], len(emit))
+        emit[:, s] += np.bincount(flat, np.repeat(np.ascontiguousarray(share[:, s]), lengths), len(emit))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, c) over all rows of ``docs`` (text); counted in each batch first, then merged in each task and after the shuffle."""
+    """(token, c) over all rows of ``docs`` (text); counted in each slice first, merged in tables of bounded size, then by Spark."""
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("token").aggregate([("c", "sum")]).rename_columns(["token", "c"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for part in slices(batch):
                 words, _ = split(part["text"])
                 found = words.value_counts()
                 tokens = pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END], pa.binary())])
-                yield pa.RecordBatch.from_arrays([tokens, pa.concat_arrays([found.field("counts"), pa.array([len(part)], pa.int64())])], ["token", "c"])
+                held.append(pa.table({"token": tokens, "c": pa.concat_arrays([found.field("counts"), pa.array([len(part)], pa.int64())])}))
+                if sum(t.num_rows for t in held) > 1_000_000:
+                    held = [merged(held)]
+                    if held[0].num_rows > 500_000:
+                        yield from held.pop().to_batches(max_chunksize=100_000)
+        if held:
+            yield from merged(held).to_batches(max_chunksize=100_000)
 
     return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -347,7 +356,7 @@ def train_model(train: DataFrame, unigram: np.ndarray, tokens: int, states: int,
     return model
 
 
-def score(docs: DataFrame, is_train: Column, states: int = 8, vocabulary: int = 32_768, rounds: int = 3, passes: int = 2, gain: float = 0.001) -> DataFrame:
+def score(docs: DataFrame, is_train: Column, states: int = 8, vocabulary: int = 32_768, rounds: int = 2, passes: int = 2, gain: float = 0.001) -> DataFrame:
     """Base and model log10 probabilities of all rows of ``docs`` (doc_id, text), learnt from those with ``is_train``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_train, F.lit(False)).alias("train"), "text")
     counts = stash(count_tokens(docs.filter("train")), "counts")
