@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 The unit vectors' halves are quantised separately by k-means fitted on a bounded sample (about
-``sample`` vectors of each length, those of smallest key hash), with an eighth as many centroids
+``sample`` vectors of each length, those of smallest key hash), with a fourth as many centroids
 as vectors, ``centroids`` at most; every vector is indexed by its pair of centroids. A query walks the
 pairs in order of summed distance with a heap until the cells passed hold ``share`` of all n vectors
 and ``root`` times the root of n more: a smaller part of a larger table, by one rule at every size. The
@@ -107,7 +107,7 @@ class Index:
         return order[out].tolist(), float(last)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = 1024, share: float = 0.18, root: float = 5.0, sample: int = 16_384, most: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = 1024, share: float = 0.15, root: float = 5.0, sample: int = 16_384, most: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query``, its ``k`` nearest other rows found."""
     spark = vectors.sparkSession
     kind = plain_vectors(vectors, "embedding")
@@ -130,7 +130,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = 10
         fit_on.setdefault(r.dim, []).append(r.embedding)
     for dim in lengths.keys() - fit_on.keys():
         fit_on[dim] = [entries.filter(F.col("dim") == dim).first().embedding]
-    index = {dim: Index(unit(some), max(1, min(centroids, lengths[dim] // 8))) for dim, some in fit_on.items()}
+    index = {dim: Index(unit(some), max(1, min(centroids, lengths[dim] // 4))) for dim, some in fit_on.items()}
     books = spark.sparkContext.broadcast(index)  # the centroids
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
