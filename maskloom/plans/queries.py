@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as T
-from maskloom.operators import audit, calls, detect, fields, restore, session, spans, tenancy, vault
+from maskloom.operators import audit, calls, detect, fields, ingest, restore, session, spans, tenancy, vault
 from maskloom.streaming import events as stream_events
 
 SECRET = b"demonstration key, not a secret"
@@ -407,15 +407,48 @@ def _events(spark, sf):
     return _t(spark, sf, "events")
 
 
-@query(" UNION ALL ".join(f"SELECT '{p}' AS period, event_type, count(*) AS n, min(epoch(ts)::BIGINT) AS period_start, max(epoch(ts)::BIGINT) + 1 AS period_end FROM events WHERE {w} GROUP BY event_type" for p, w in [*((p, f"floor(epoch(ts))::BIGINT >= {NOW - s} AND floor(epoch(ts))::BIGINT < {NOW + 1}") for p, s in audit.PERIODS.items()), ("all", "true")]).replace("epoch(ts)::BIGINT)", "floor(epoch(ts))::BIGINT)"))
+_SECONDS = "floor(epoch(ts))::BIGINT"
+
+
+@query(f"""WITH e AS (SELECT event_type, {_SECONDS} AS s FROM events),
+p(period, lo, hi) AS (VALUES {", ".join(f"('{p}', {NOW - w}, {NOW + 1})" for p, w in audit.PERIODS.items())}, ('all', -9000000000, 9000000000)),
+j AS (SELECT p.period, e.* FROM p JOIN e ON s >= lo AND s < hi), c AS (SELECT period, event_type, count(*) AS n FROM j GROUP BY ALL),
+r AS (SELECT period, string_agg(event_type || ':' || CASE WHEN n >= 100 THEN n ELSE 0 END, ',' ORDER BY event_type) AS cells, bool_and(n >= 100) AS publishable FROM c GROUP BY period),
+w AS (SELECT period, count(*) AS n, min(s) AS a, max(s) AS b FROM j GROUP BY period)
+SELECT p.period, CAST(CASE WHEN p.period = 'all' THEN coalesce(a, 0) ELSE lo END AS BIGINT) AS period_start, CAST(CASE WHEN p.period = 'all' THEN coalesce(b, {NOW}) + 1 ELSE hi END AS BIGINT) AS period_end,
+CAST(coalesce(w.n, 0) AS BIGINT) AS total_requests, coalesce(cells, '') AS cells, coalesce(publishable, false) AS publishable FROM p LEFT JOIN w USING (period) LEFT JOIN r USING (period)""")
 def rolling_period_report(spark, sf):
+    """Reports of every period over receipts, one receipt an event."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = _events(spark, sf).select(at.alias("ts_unix"), F.struct(F.create_map(F.col("event_type"), F.lit(1).cast("long")).alias("masked_by_type")).alias("counters"))
     out = None
     for period in [*audit.PERIODS, "all"]:
-        at = F.unix_seconds(F.col("ts").cast("timestamp"))
-        rows = _events(spark, sf).filter(audit.in_period(at, period, NOW)).groupBy("event_type").agg(F.count("*").alias("n"), F.min(at).alias("period_start"), (F.max(at) + 1).alias("period_end"))
-        rows = rows.select(F.lit(period).alias("period"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        one = audit.period_report(rows, period, NOW, 100)
+        out = one if out is None else out.unionByName(one)
+    cells = F.array_join(F.transform(F.array_sort(F.map_entries("redacted")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.withColumn("cells", cells).drop("redacted")
+
+
+_POLICY = {"k": 5, "disabled": []}
+
+
+@query(f"""WITH f AS (SELECT conv_id, {_kind('v')} AS kind FROM (SELECT conv_id, unnest(regexp_extract_all(text, '{RE}')) AS v FROM conversations)),
+b AS (SELECT conv_id, kind, count(*) AS n FROM f WHERE kind IS NOT NULL GROUP BY ALL),
+r AS (SELECT conv_id, '{{' || coalesce(string_agg('"' || kind || '":' || n, ',' ORDER BY kind) FILTER (WHERE kind NOT IN ('Ip', 'Date', 'CreditCard')), '') || '}}' AS j,
+ sum(n) FILTER (WHERE kind IN ('Ip', 'Date', 'CreditCard')) AS q FROM b GROUP BY conv_id),
+x AS (SELECT c.conv_id, '{{"tenant_id":"t' || conv_id % 3 || '","session_ref_hashed":"' || sha256('session:t' || conv_id % 3 || chr(31) || 'key' || conv_id) || '","ts_unix":' || ({NOW} + conv_id) || ',"engine_version":"1","policy_hash":"{audit.policy_hash(_POLICY)}","counters":{{"masked_by_type":'
+ || coalesce(j, '{{}}') || ',"quasi_id_flags":' || coalesce(q, 0)::BIGINT || ',"incomplete_restorations":' || turns || ',"blocked_outputs":0}}}}' AS receipt
+ FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id) c LEFT JOIN r USING (conv_id))
+SELECT conv_id, receipt, {_hexed('receipt')} AS sig_agent, true AS valid FROM x""")
+def sealed_receipts(spark, sf):
+    """Whole receipts of conversations whose answers each keep one forged sentinel, sealed and checked."""
+    turns = _t(spark, sf, "conversations")
+    tenant = F.concat(F.lit("t"), (F.col("conv_id") % 3).cast("string"))
+    ref = tenancy.session_ref(tenant, F.concat(F.lit("key"), F.col("conv_id").cast("string")))
+    requests = turns.select("conv_id").distinct().select("conv_id", tenant.alias("tenant_id"), ref.alias("session_ref_hashed"), (F.lit(NOW) + F.col("conv_id")).alias("ts_unix"))
+    answers = restore.sentinel_counts(turns.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(FORGED))), "conv_id")
+    rows = audit.sealed(audit.full_receipts(requests, detect.detect(turns, "conv_id"), answers, "conv_id", _POLICY), SECRET)
+    return audit.verified(rows, SECRET).select("conv_id", audit.canonical().alias("receipt"), "sig_agent", "valid")
 
 
 _RUNS = """r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (
@@ -461,6 +494,42 @@ def seen_tenants_fifo(spark, sf):
     return tenancy.seen_tenants(_events(spark, sf), "user_id", "ts").select("user_id", F.unix_seconds(F.col("first_seen").cast("timestamp")).alias("first_seen"))
 
 
+@query(f"""WITH e AS (SELECT *, {_SECONDS} AS s FROM events),
+d AS (SELECT user_id % 10 AS tenant, sha256(CAST(user_id AS VARCHAR)) AS digest, value < 150 AS valid, s AS t0 FROM e WHERE event_id % 3 = 0),
+p AS (SELECT user_id % 10 AS tenant, CASE WHEN user_id % 2 = 0 AND s >= {NOW} - 200000 THEN 2 ELSE 1 END AS version, s AS t0 FROM e WHERE event_id % 3 = 1 AND s <= {NOW}),
+c AS (SELECT tenant, max(t0) AS purged FROM (SELECT *, lag(version) OVER (PARTITION BY tenant ORDER BY t0, version) AS b FROM p) WHERE b <> version GROUP BY tenant),
+k AS (SELECT tenant, digest, arg_max(valid, t0) AS valid FROM d LEFT JOIN c USING (tenant) WHERE t0 <= {NOW} AND {NOW} - t0 <= 600000 AND (purged IS NULL OR t0 >= purged) GROUP BY tenant, digest),
+q AS (SELECT event_id, (user_id + event_id % 2) % 10 AS tenant, sha256(CAST(user_id AS VARCHAR)) AS digest FROM e WHERE event_id % 3 = 2)
+SELECT event_id, tenant, coalesce(valid, false) AS accepted FROM q LEFT JOIN k USING (tenant, digest)""")
+def tenant_isolation(spark, sf):
+    """Cached decisions after expiry and purges; half the requests name another tenant than the token's."""
+    e = _events(spark, sf).withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp"))).withColumn("digest", F.sha2(F.col("user_id").cast("string"), 256)).withColumn("tenant", F.col("user_id") % 10)
+    made = e.filter("event_id % 3 = 0").select("tenant", "digest", (F.col("value") < 150).alias("valid"), "at")
+    version = F.when((F.col("user_id") % 2 == 0) & (F.col("at") >= NOW - 200_000), 2).otherwise(1)
+    polls = e.filter("event_id % 3 = 1").select("tenant", version.alias("version"), "at")
+    asked = e.filter("event_id % 3 = 2").select("event_id", ((F.col("user_id") + F.col("event_id") % 2) % 10).alias("tenant"), "digest")
+    return tenancy.accepted(asked, tenancy.live_decisions(made, polls, 600_000, NOW)).select("event_id", "tenant", "accepted")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'UpstreamTimeout' ELSE 'Upstream' END AS kind, CASE WHEN event_id % 3 = 0 THEN 504 ELSE 502 END AS status, left(repeat(props, 99), 512) AS detail,
+'https://host' || event_id % 4 || CASE event_id % 4 WHEN 1 THEN '/api' ELSE '' END || '/v1/chat/completions' AS url FROM events""")
+def failed_calls(spark, sf):
+    """Calls without an answer: their kind, status and cut detail, and where they went."""
+    kind = calls.failure_kind(F.col("event_id") % 3 == 0)
+    tail = F.element_at(F.array(*[F.lit(t) for t in ("", "/api//", "/v1", "/v1/")]), (F.col("event_id") % 4 + 1).cast("int"))
+    base = F.concat(F.lit("https://host"), (F.col("event_id") % 4).cast("string"), tail)
+    return _events(spark, sf).select("event_id", kind.alias("kind"), calls.error_fields(kind)[0].alias("status"), calls.log_detail(F.repeat("props", F.lit(99))).alias("detail"), tenancy.join_url(base, "/chat/completions").alias("url"))
+
+
+@query(f"""WITH l AS (SELECT event_id AS seq, event_type AS tenant_id, {_SECONDS} AS ts_unix FROM events), w AS (SELECT * FROM l WHERE seq >= 700 ORDER BY seq LIMIT 512),
+r AS (SELECT *, sum(new) OVER (ORDER BY seq) AS run FROM (SELECT *, CASE WHEN tenant_id IS NOT DISTINCT FROM lag(tenant_id) OVER (ORDER BY seq) THEN 0 ELSE 1 END AS new FROM w))
+SELECT CAST(run AS BIGINT) AS run, any_value(tenant_id) AS tenant_id, count(*) AS n, min(ts_unix) AS period_start, max(ts_unix) + 1 AS period_end FROM r GROUP BY run""")
+def pending_batches(spark, sf):
+    """The runs of the next flush behind a cursor."""
+    ledger = _events(spark, sf).select(F.col("event_id").alias("seq"), F.col("event_type").alias("tenant_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_unix"))
+    return ingest.batches(audit.pending(ledger, 700)).select(F.col("run").cast("long").alias("run"), "tenant_id", "n", "period_start", "period_end")
+
+
 _HEADER = """CASE c_nationkey % 5 WHEN 0 THEN 'Bearer mn_' || c_custkey || '.' || c_name WHEN 1 THEN 'bearer mn_' || c_name || '.up.' || c_custkey
   WHEN 2 THEN 'Bearer mn_.' || c_name WHEN 3 THEN 'Basic ' || c_name ELSE 'Bearer mn_' || c_custkey END"""
 
