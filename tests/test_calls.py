@@ -52,6 +52,13 @@ def test_outcomes(spark):
     assert spark.range(1).select(F.length(calls.log_detail(F.repeat(F.lit("é"), F.lit(600)))).alias("n")).first().n == 512
 
 
+def test_request_ids_and_failures(spark):
+    df = spark.range(200).select("id", calls.request_id(F.col("id")).alias("r"), calls.request_id(F.col("id")).alias("again"), calls.failure_kind(F.col("id") == 0).alias("k"))
+    got = df.collect()
+    assert len({r.r for r in got}) == 200 and all(r.r == r.again and len(r.r) == 8 and r.r.isalnum() and r.r == r.r.lower() for r in got)
+    assert got[0].k == "UpstreamTimeout" and {r.k for r in got[1:]} == {"Upstream"}
+
+
 def test_degrade_needs_both_conditions(spark):
     ask, bare, said = '{"response_format":{"t":"j"},"m":[1,{"x":null}],"s":"q\\"z"}', '{"m":1}', f"x {calls.NO_RESPONSE_FORMAT}"
     rows = [(400, ask, said), (400, bare, said), (400, ask, "other"), (500, ask, said), (400, None, said), (400, "junk", said), (400, ask, None)]
